@@ -1,0 +1,26 @@
+"""A lookup join that a few very frequent keys cannot slow down."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+HOT_KEYS = 1000   # keys that travel by broadcast: a fixed bound, whatever the size of the tables
+SPREAD = 1024
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, spread_by: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row per ``key`` and says in ``weight`` how often it occurs.
+
+    The ``HOT_KEYS`` most frequent keys are broadcast. Their rows keep a spread key that matches nothing in the
+    shuffled join, so they are dealt out evenly and still take part in just one shuffle.
+    """
+    columns = [c for c in table.columns if c != key]
+    hot = table.orderBy(F.col(weight).desc(), key).limit(HOT_KEYS).select(
+        F.col(key), F.struct(*columns).alias("__hot"))
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn(
+        "__key", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(
+            F.concat(F.lit("\x00"), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("string"))))
+    rest = table.select(F.col(key).alias("__key"), F.struct(*columns).alias("__cold"))
+    joined = marked.join(rest, "__key", "left")
+    found = F.coalesce("__hot", "__cold")
+    return joined.filter(found.isNotNull()).select(*rows.columns, *[found[c].alias(c) for c in columns])
