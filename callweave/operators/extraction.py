@@ -59,11 +59,13 @@ def mentioned_names(texts: DataFrame, names: DataFrame, text: str = "full_transc
         F.min("name").alias("name"))
     sizes = sorted(r[0] for r in entries.select("n").distinct().collect())
     words = F.col("words")
-    phrases = F.flatten(F.array(*[
-        F.when(F.size(words) >= n, F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))),
-            lambda i, n=n: F.struct(F.array_join(F.slice(words, i, n), " ").alias("phrase"), i.alias("at"))))
-        .otherwise(F.array().cast("array<struct<phrase:string,at:int>>")) for n in sizes or [1]]))
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
+        found = F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i, F.lit(n)), " ").alias("phrase"), i.alias("at")))
+        return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<struct<phrase:string,at:int>>"))
+
+    phrases = F.flatten(F.array(*[of_length(n) for n in sizes or [1]]))
     places = texts.select("call_id", tokens(text).alias("words")).select("call_id", F.inline(phrases))
     first = places.groupBy("call_id", "phrase").agg(F.min("at").alias("at"))
     hits = first.join(entries, "phrase").groupBy("call_id").agg(
