@@ -1,28 +1,27 @@
 """Exact similarity joins: cosine of TF-IDF text vectors, and cosine of dense vectors.
 
-Neither join scores every pair. Both drop only pairs that a bound proves to be at or below the threshold, and
-both cut hot keys into blocks, so no token, cell or text is ever handled by one task as a whole.
+Both joins leave out only pairs that a bound proves to be at or below the threshold, and both cut hot keys into
+blocks, so no token, cell or group of copies is ever handled by one task as a whole.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from callweave.operators.skew import lookup
 from callweave.session import checkpointed
 
 TOKEN = r"((?U)[\p{L}\p{N}]+)"
-SCORE_DIGITS = 9     # sums differ in their last digits with the order of adding: scores equal here are ties
-_SLACK = 1e-9        # the bounds are checked a little below the threshold, the exact score afterwards
-TOKEN_BLOCK = 20_000  # postings of one token per block
+SCORE_DIGITS = 9      # sums differ in their last digits with the order of adding: scores equal here are ties
+FREQUENT = 2048       # tokens in the frequent part of a text vector
+TOKEN_BLOCK = 20_000  # postings of one rare token per block
 VECTOR_BLOCK = 2048   # vectors of one cell per block
 PIVOTS = 64
+SPREAD = 1024
 
 
 def tokens(c: Column | str) -> Column:
@@ -30,10 +29,14 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(1))
 
 
-def distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
-    """Every distinct text once, under its hash. Copies are folded before the shuffle, however many there are."""
-    return df.filter(F.col(text_col).isNotNull()).groupBy(F.sha2(text_col, 256).alias("text_id")).agg(
-        F.first(text_col).alias("text"))
+def distinct_texts(df: DataFrame, text_col: str, id_expr: Column | None = None) -> DataFrame:
+    """Every distinct text once as (text_id, text): under its hash, or under the smallest ``id_expr`` of its rows.
+    Copies are folded before the shuffle, however many there are."""
+    rows = df.filter(F.col(text_col).isNotNull())
+    if id_expr is None:
+        return rows.groupBy(F.sha2(text_col, 256).alias("text_id")).agg(F.first(text_col).alias("text"))
+    return rows.groupBy(F.sha2(text_col, 256).alias("h")).agg(
+        F.min(id_expr).alias("text_id"), F.first(text_col).alias("text")).select("text_id", "text")
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
@@ -41,55 +44,47 @@ def term_counts(texts: DataFrame) -> DataFrame:
         F.count("*").alias("tf"))
 
 
-def text_vectors(texts: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Unit TF-IDF vectors as rows (text_id, token, weight), with idf = ln((1 + n) / (1 + df)) + 1 from ``corpus``.
-
-    Both inputs hold distinct texts as ``distinct_texts`` gives them.
-    """
-    terms = _corpus_terms(term_counts(corpus), corpus, None)
-    weighted = _weigh(term_counts(texts), terms)
-    return weighted.select("text_id", "token", "weight")
-
-
-def _corpus_terms(right: DataFrame, corpus: DataFrame, left: DataFrame | None) -> DataFrame:
-    """Per token its number of texts on each side and its idf; one shuffle for both sides."""
+def corpus_terms(right: DataFrame, size: int, left: DataFrame | None = None) -> DataFrame:
+    """Per token its number of texts on both sides and idf = ln((1 + n) / (1 + df)) + 1 of the right side."""
     both = right.select("token", F.lit(1).alias("r"), F.lit(0).alias("l"))
     if left is not None:
         both = both.unionByName(left.select("token", F.lit(0).alias("r"), F.lit(1).alias("l")))
-    size = corpus.count()  # one number
     counts = both.groupBy("token").agg(F.sum("r").alias("df"), F.sum("l").alias("left_df"))
-    return counts.withColumns({
-        "idf": F.log((F.lit(float(size)) + 1) / (F.col("df") + 1)) + 1, "texts": F.col("df") + F.col("left_df")})
+    return counts.select("token", "df", "left_df", (F.col("df") + F.col("left_df")).alias("texts"),
+                         (F.log((F.lit(float(size)) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def _weigh(counts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Weights of unit length, and per posting the length of what is left of its text from this token on when
-    tokens are taken from rare to common. The windows see one text each."""
-    raw = lookup(counts, terms, "token", weight="texts", spread_by="text_id").withColumn("w", F.col("tf") * F.col("idf"))
-    text = Window.partitionBy("text_id")
-    rising = text.orderBy(F.col("df").desc(), F.col("token").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        raw.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(text)))
-        .withColumn("weight", F.col("w") / F.col("norm"))
-        .withColumn("rest_sq", F.sum(F.col("weight") * F.col("weight")).over(rising))
-        .select("text_id", "token", "df", "left_df", "weight", "rest_sq")
-    )
-
+def frequent_terms(terms: DataFrame) -> DataFrame:
+    """The most frequent tokens with their place in the frequent part of a vector: a fixed number of rows."""
+    rows = terms.orderBy(F.col("texts").desc(), "token").limit(FREQUENT).collect()
+    return terms.sparkSession.createDataFrame(
+        [(r["token"], i, r["idf"]) for i, r in enumerate(rows)], "token string, ix int, hot_idf double")
 
-def _prefix(weighted: DataFrame, threshold: float) -> DataFrame:
-    """Postings up to the point where the rest of a text alone can no longer reach the threshold. Two texts above
-    the threshold share a token among these; their rarest common one is in both prefixes."""
-    limit = max(threshold - _SLACK, 0.0) ** 2
-    after = F.sqrt(F.greatest(F.col("rest_sq") - F.col("weight") * F.col("weight"), F.lit(0.0)))
-    return weighted.filter(F.col("rest_sq") > limit).select(
-        "text_id", "token", "df", "left_df", "weight", after.alias("after"))
 
+def text_vectors(counts: DataFrame, terms: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Unit TF-IDF vectors, one row per text: ``ix``/``w`` of its frequent tokens, ``rare`` tokens with their weights
+    and ``rest``, the length of the rare part.
 
-def _packed(weighted: DataFrame) -> DataFrame:
-    """One row per text: token hashes in rising order and their weights. Texts are values, so rows stay bounded."""
-    entries = F.sort_array(F.collect_list(F.struct(F.xxhash64("token").alias("t"), F.col("weight").alias("w"))))
-    return weighted.groupBy("text_id").agg(entries.alias("e")).select(
-        "text_id", F.col("e.t").alias("t"), F.col("e.w").alias("w"))
+    Rows of frequent tokens take their idf from the broadcast table and travel under a spread key, so no token
+    is hot in the shuffle. A vector is no longer than its text.
+    """
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("text_id"), F.lit(SPREAD)).cast("string"))
+    marked = counts.join(F.broadcast(frequent), "token", "left").withColumn(
+        "__key", F.when(F.col("ix").isNull(), F.col("token")).otherwise(spread))
+    rest = terms.select(F.col("token").alias("__key"), "idf", "df", "left_df")
+    weighed = marked.join(rest, "__key", "left").select(
+        "text_id", "token", "ix", "df", "left_df", (F.col("tf") * F.coalesce("hot_idf", "idf")).alias("w"))
+    hot = F.when(F.col("ix").isNotNull(), F.struct("ix", "w"))
+    rare = F.when(F.col("ix").isNull(), F.struct("token", "df", "left_df", "w"))
+    add = lambda a, x: a + x["w"] * x["w"]
+    sums = weighed.groupBy("text_id").agg(F.sort_array(F.collect_list(hot)).alias("hot"), F.collect_list(rare).alias("rare"))
+    parts = sums.withColumns({"hot_sq": F.aggregate("hot", F.lit(0.0), add), "rare_sq": F.aggregate("rare", F.lit(0.0), add)})
+    norm = F.sqrt(F.col("hot_sq") + F.col("rare_sq"))
+    return parts.withColumn("norm", norm).select(
+        "text_id", F.col("hot.ix").alias("ix"), F.transform("hot", lambda x: x["w"] / F.col("norm")).alias("w"),
+        F.transform("rare", lambda x: F.struct(x["token"].alias("token"), x["df"].alias("df"), x["left_df"].alias("left_df"),
+                                               (x["w"] / F.col("norm")).alias("w"))).alias("rare"),
+        (F.sqrt("rare_sq") / F.col("norm")).alias("rest"))
 
 
 def _blocks(df: Column) -> Column:
@@ -100,61 +95,45 @@ def _block_of(n: Column) -> Column:
     return F.pmod(F.xxhash64("text_id"), n).cast("int")
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of texts that may score above the threshold, from the prefixes of both sides.
+def rare_products(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The part of the score that rare tokens give: (left_id, right_id, part) of texts that share one.
 
-    At the rarest common token a pair above the threshold passes ``wl * wr + after_l * after_r > threshold``, so
-    the test inside the join loses nothing. Both sides know how many texts hold a token and cut hot tokens into
-    blocks: every block of one side meets every block of the other in a task of its own.
+    Both sides know how many texts hold a token. A token of many texts is cut into blocks on both sides, and every
+    block of one side meets every block of the other in a task of its own.
     """
-    lo = _prefix(left, threshold).withColumns({
-        "lb": _block_of(_blocks(F.col("left_df"))),
-        "rb": F.explode(F.sequence(F.lit(0), _blocks(F.col("df")) - 1)),
-    }).select("token", "lb", "rb", F.col("text_id").alias("left_id"), F.col("weight").alias("wl"), F.col("after").alias("al"))
-    hi = _prefix(right, threshold).withColumns({
-        "rb": _block_of(_blocks(F.col("df"))),
-        "lb": F.explode(F.sequence(F.lit(0), _blocks(F.col("left_df")) - 1)),
-    }).select("token", "lb", "rb", F.col("text_id").alias("right_id"), F.col("weight").alias("wr"), F.col("after").alias("ar"))
-    bound = F.col("wl") * F.col("wr") + F.col("al") * F.col("ar") > threshold - _SLACK
-    return lo.join(hi, ["token", "lb", "rb"]).filter(bound).select("left_id", "right_id").distinct()
-
-
-def _sparse_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dot products of packed vectors, pair by pair within an Arrow batch."""
-    for batch in batches:
-        lt, lw, rt, rw = (batch.column(batch.schema.get_field_index(c)) for c in ("lt", "lw", "rt", "rw"))
-        flat = [a.values.to_numpy(zero_copy_only=False) for a in (lt, lw, rt, rw)]
-        lo, ro = lt.offsets.to_numpy(), rt.offsets.to_numpy()
-        scores = np.zeros(batch.num_rows)
-        for i in range(batch.num_rows):
-            a, b = flat[0][lo[i]:lo[i + 1]], flat[2][ro[i]:ro[i + 1]]
-            wa, wb = flat[1][lo[i]:lo[i + 1]], flat[3][ro[i]:ro[i + 1]]
-            if len(a) > len(b):
-                a, b, wa, wb = b, a, wb, wa
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            scores[i] = np.dot(wa * (b[at] == a), wb[at])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("left_id")),
-             batch.column(batch.schema.get_field_index("right_id")),
-             pa.array(np.round(scores, SCORE_DIGITS))], names=["left_id", "right_id", "score"])
-
-
-def similar_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of distinct texts with cosine > ``threshold``: (left_id, right_id, score).
-
-    Both sides come from ``distinct_texts``. Exact but for two tokens with the same 64-bit hash. The weights are
-    stored once, as three steps read them.
+    l = left.select("text_id", F.inline("rare")).filter("df > 0").withColumns({
+        "lb": _block_of(_blocks(F.col("left_df"))), "rb": F.explode(F.sequence(F.lit(0), _blocks(F.col("df")) - 1))})
+    r = right.select("text_id", F.inline("rare")).filter("left_df > 0").withColumns({
+        "rb": _block_of(_blocks(F.col("df"))), "lb": F.explode(F.sequence(F.lit(0), _blocks(F.col("left_df")) - 1))})
+    l = l.select("token", "lb", "rb", F.col("text_id").alias("left_id"), F.col("w").alias("wl"))
+    r = r.select("token", "lb", "rb", F.col("text_id").alias("right_id"), F.col("w").alias("wr"))
+    return l.join(r, ["token", "lb", "rb"]).groupBy("left_id", "right_id").agg(F.sum(F.col("wl") * F.col("wr")).alias("part"))
+
+
+def _frequent_matrix(frame: pd.DataFrame) -> np.ndarray:
+    m = np.zeros((len(frame), FREQUENT))
+    sizes = frame["ix"].str.len().to_numpy()
+    if sizes.sum():
+        m[np.repeat(np.arange(len(frame)), sizes), np.concatenate(frame["ix"].to_list())] = np.concatenate(frame["w"].to_list())
+    return m
+
+
+def similar_texts(left: DataFrame, right: DataFrame, threshold: float, k: int | None = None) -> DataFrame:
+    """All pairs of distinct texts with TF-IDF cosine > ``threshold``, or the ``k`` best per left text (ties to the
+    smaller right id): (left_id, right_id, score).
+
+    Both sides come from ``distinct_texts``. A score is a sum over the frequent tokens, a fixed number, and one over
+    the rare ones. The frequent part is a product of blocks of vectors; the rare part comes from an inverted index
+    in which no token is frequent. Exact.
     """
     right_counts, left_counts = term_counts(right), term_counts(left)
-    terms = _corpus_terms(right_counts, right, left_counts)
-    weighted_right = checkpointed(_weigh(right_counts, terms))
-    weighted_left = checkpointed(_weigh(left_counts, terms))
-    pairs = candidate_pairs(weighted_left, weighted_right, threshold)
-    lv = _packed(weighted_left).toDF("left_id", "lt", "lw")
-    rv = _packed(weighted_right).toDF("right_id", "rt", "rw")
-    scored = pairs.join(lv, "left_id").join(rv, "right_id").mapInArrow(
-        _sparse_scores, "left_id string, right_id string, score double")
-    return scored.filter(F.col("score") > threshold)
+    terms = checkpointed(corpus_terms(right_counts, right.count(), left_counts))
+    frequent = frequent_terms(terms)
+    rv = checkpointed(text_vectors(right_counts, terms, frequent))
+    lv = checkpointed(text_vectors(left_counts, terms, frequent))
+    shape = lambda v: v.select(F.col("text_id").alias("id"), "ix", "w", "rest")
+    return _block_join(shape(lv), shape(rv), "ix array<int>, w array<double>, rest double", _frequent_matrix, threshold, k,
+                       VECTOR_BLOCK, PIVOTS, rare_products(lv, rv))
 
 
 def text_similarity_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str,
@@ -169,75 +148,114 @@ def text_similarity_join(left: DataFrame, right: DataFrame, left_text: str, righ
     )
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.array(vectors.to_list(), dtype=np.float64).reshape(len(vectors), -1)
+def _normalise(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
+def _dense_matrix(frame: pd.DataFrame) -> np.ndarray:
+    return _normalise(np.array(frame["vec"].to_list(), dtype=np.float64).reshape(len(frame), -1))
+
+
 def vector_similarity_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vec: str,
                            right_vec: str, threshold: float, k: int | None = None, block: int = VECTOR_BLOCK,
                            pivots: int = PIVOTS) -> DataFrame:
-    """All pairs with cosine > ``threshold``, or the ``k`` best of them per left row: (left_id, right_id, score).
-
-    Right vectors go to the cell of their nearest pivot. A left vector at angle ``a`` to a pivot can only match
-    members of its cell at angles within arccos(threshold) of ``a``; it visits the cells where there are such
-    members. Cells are cut into blocks by hash on both sides, and a block pair is one matrix product. The driver
-    sees the pivots and one row per cell.
+    """All pairs of vectors with cosine > ``threshold``, or the ``k`` best of them per left row: (left_id, right_id, score)."""
+    shape = lambda df, i, v: df.select(
+        F.col(i).alias("id"), F.col(v).cast("array<double>").alias("vec"), F.lit(0.0).alias("rest")).filter("vec is not null")
+    return _block_join(shape(left, left_id, left_vec), shape(right, right_id, right_vec), "vec array<double>, rest double",
+                       _dense_matrix, threshold, k, block, pivots, None)
+
+
+def _block_join(left: DataFrame, right: DataFrame, payload: str, matrix: Callable[[pd.DataFrame], np.ndarray],
+                threshold: float, k: int | None, block: int, pivots: int, extra: DataFrame | None) -> DataFrame:
+    """Pairs whose product of ``matrix`` rows, plus their ``extra`` part, exceeds the threshold.
+
+    A row with ``rest``, the length of what ``matrix`` leaves out, counts as one more coordinate: the product of two
+    such rows is an upper bound of the score. Right rows go to the cell of their nearest pivot. A left row at angle
+    ``a`` to a pivot can only match members of its cell at angles within arccos(threshold) of ``a``; it visits the
+    cells where there are such members. Cells are cut into blocks by hash on both sides, and a pair of blocks is one
+    matrix product. The driver sees the pivots and one row per cell.
     """
-    sample = right.select(right_id, right_vec).orderBy(F.xxhash64(right_id), right_id).limit(pivots).toPandas()
-    id_types = {"l": left.schema[left_id].dataType.simpleString(), "r": right.schema[right_id].dataType.simpleString()}
-    out_schema = f"left_id {id_types['l']}, right_id {id_types['r']}, score double"
+    spark = left.sparkSession
+    l_type, r_type = (df.schema["id"].dataType.simpleString() for df in (left, right))
+    out_schema = f"left_id {l_type}, right_id {r_type}, score double"
+    fields = [f.strip().split(" ")[0] for f in payload.split(", ")]
+    sample = right.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
     if sample.empty:
-        return left.sparkSession.createDataFrame([], out_schema)
-    centers = _unit(sample[right_vec])
+        return spark.createDataFrame([], out_schema)
+
+    def bounded(frame: pd.DataFrame) -> np.ndarray:
+        return _normalise(np.column_stack([matrix(frame), frame["rest"].to_numpy(dtype=np.float64)]))
+
+    centers = bounded(sample)
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
 
-    def angles(vectors: pd.Series) -> np.ndarray:
-        return np.arccos(np.clip(_unit(vectors) @ centers.T, -1.0, 1.0))
+    def angles(frame: pd.DataFrame) -> np.ndarray:
+        return np.arccos(np.clip(bounded(frame) @ centers.T, -1.0, 1.0))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if b.empty:
-                continue
-            a = angles(b["vec"])
-            cell = a.argmin(axis=1)
-            yield pd.DataFrame({"id": b["id"], "vec": b["vec"], "cell": cell.astype("int32"),
-                                "angle": a[np.arange(len(b)), cell]})
-
-    r_in = right.select(F.col(right_id).alias("id"), F.col(right_vec).cast("array<double>").alias("vec")).filter("vec is not null")
-    l_in = left.select(F.col(left_id).alias("id"), F.col(left_vec).cast("array<double>").alias("vec")).filter("vec is not null")
-    assigned = checkpointed(r_in.mapInPandas(assign, f"id {id_types['r']}, vec array<double>, cell int, angle double"))
+            if not b.empty:
+                a = angles(b)
+                cell = a.argmin(axis=1)
+                yield b[["id", *fields]].assign(cell=cell.astype("int32"), angle=a[np.arange(len(b)), cell])
+
+    assigned = checkpointed(right.mapInPandas(assign, f"id {r_type}, {payload}, cell int, angle double"))
     cells = assigned.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"),
                                          F.count("*").alias("n")).toPandas()
     cell_no, lo, hi = cells["cell"].to_numpy(), cells["lo"].to_numpy(), cells["hi"].to_numpy()
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if b.empty:
-                continue
-            a = angles(b["vec"])[:, cell_no]
-            near = (a - reach <= hi) & (a + reach >= lo)
-            yield pd.DataFrame({"id": b["id"], "vec": b["vec"], "cells": [cell_no[row].astype("int32") for row in near]})
-
-    visits = checkpointed(l_in.mapInPandas(visit, f"id {id_types['l']}, vec array<double>, cells array<int>"))
-    visitors = {r["cell"]: r["count"] for r in visits.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}
-    sizes = left.sparkSession.createDataFrame(
-        [(int(c), max(1, math.ceil(n / block)), max(1, math.ceil(visitors.get(c, 0) / block)))
-         for c, n in zip(cell_no, cells["n"])], "cell int, r_blocks int, l_blocks int")
-    sizes = F.broadcast(sizes)  # one row per pivot at most
-    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lhs = visits.select("id", "vec", F.explode("cells").alias("cell")).join(sizes, "cell").withColumns(
-        {"lb": spread("l_blocks"), "rb": every("r_blocks")}).select("cell", "lb", "rb", "id", "vec")
-    rhs = assigned.join(sizes, "cell").withColumns(
-        {"rb": spread("r_blocks"), "lb": every("l_blocks")}).select("cell", "lb", "rb", "id", "vec")
+            if not b.empty:
+                a = angles(b)[:, cell_no]
+                near = (a - reach <= hi) & (a + reach >= lo)
+                yield b[["id", *fields]].assign(cells=[cell_no[row].astype("int32") for row in near])
+
+    visits = checkpointed(left.mapInPandas(visit, f"id {l_type}, {payload}, cells array<int>"))
+    # Small cells share a group until a block is full, so few rows make few blocks; large cells have their own.
+    group_of, group_size, filled = {}, {}, 0
+    for c, n in sorted(zip(cell_no.tolist(), cells["n"].tolist())):
+        if not group_size or filled + n > block:
+            group_size[len(group_size)], filled = 0, 0
+        group_of[c] = len(group_size) - 1
+        group_size[group_of[c]] += n
+        filled += n
+    # These maps have at most one entry per pivot.
+    literal = lambda m: F.create_map(*[F.lit(int(x)) for kv in m.items() for x in kv])
+    visited = visits.withColumn("grp", F.explode(F.array_distinct(F.transform(
+        "cells", lambda c: F.element_at(literal(group_of), c))))).drop("cells")
+    visitors = {r["grp"]: r["count"] for r in visited.groupBy("grp").count().collect()}
+    r_blocks = F.element_at(literal({g: math.ceil(n / block) for g, n in group_size.items()}), F.col("grp"))
+    l_blocks = F.element_at(literal({g: max(1, math.ceil(visitors.get(g, 0) / block)) for g in group_size}), F.col("grp"))
+    spread = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    keys = ["grp", "lb", "rb"]
+    placed = assigned.withColumn("grp", F.element_at(literal(group_of), F.col("cell"))).withColumn("rb", spread("id", r_blocks))
+    rhs = placed.withColumn("lb", every(l_blocks)).select(*keys, "id", *fields)
+    lhs = visited.withColumns({"lb": spread("id", l_blocks), "rb": every(r_blocks)}).select(
+        *keys, "id", *fields, F.lit(None).cast(r_type).alias("right_id"), F.lit(None).cast("double").alias("part"))
+    if extra is not None:
+        where = placed.select(F.col("id").alias("right_id"), "grp", "rb")
+        parts = extra.join(where, "right_id").withColumn("lb", spread("left_id", l_blocks)).select(
+            *keys, F.col("left_id").alias("id"), *[F.lit(None).cast(left.schema[f].dataType).alias(f) for f in fields],
+            "right_id", "part")
+        lhs = lhs.unionByName(parts)
 
     def score(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if lpdf.empty or rpdf.empty:
+        is_part = lpdf["part"].notna().to_numpy()
+        vectors, parts = lpdf[~is_part], lpdf[is_part]
+        if vectors.empty or rpdf.empty:
             return pd.DataFrame({"left_id": [], "right_id": [], "score": []})
         rpdf = rpdf.sort_values("id", kind="stable")
-        s = np.round(_unit(lpdf["vec"]) @ _unit(rpdf["vec"]).T, SCORE_DIGITS)
+        l_ids, r_ids = vectors["id"].to_numpy(), rpdf["id"].to_numpy()
+        s = matrix(vectors) @ matrix(rpdf).T
+        if len(parts):
+            at_l, at_r = pd.Index(l_ids).get_indexer(parts["id"]), pd.Index(r_ids).get_indexer(parts["right_id"])
+            known = (at_l >= 0) & (at_r >= 0)
+            np.add.at(s, (at_l[known], at_r[known]), parts["part"].to_numpy()[known])
+        s = np.round(s, SCORE_DIGITS)
         if k is not None and s.shape[1] > k:
             best = np.argsort(-s, axis=1, kind="stable")[:, :k]
             rows = np.repeat(np.arange(len(s)), k)
@@ -246,10 +264,8 @@ def vector_similarity_join(left: DataFrame, right: DataFrame, left_id: str, righ
             rows, cols = rows[keep], cols[keep]
         else:
             rows, cols = np.nonzero(s > threshold)
-        return pd.DataFrame({"left_id": lpdf["id"].to_numpy()[rows], "right_id": rpdf["id"].to_numpy()[cols],
-                             "score": s[rows, cols]})
+        return pd.DataFrame({"left_id": l_ids[rows], "right_id": r_ids[cols], "score": s[rows, cols]})
 
-    keys = ["cell", "lb", "rb"]
     found = lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInPandas(score, out_schema)
     return top_k(found, "left_id", [F.col("score").desc(), F.col("right_id")], k) if k is not None else found
 
