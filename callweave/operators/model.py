@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from callweave import schemas
 from callweave.functions.text import missing, number
-from callweave.session import checkpointed
+from callweave.session import stored
 
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -55,7 +55,7 @@ def map_model(df: DataFrame, fn: Model, in_cols: list[str], out_schema: str, bat
 
     results = inputs.mapInPandas(run, f"__key string, {out_schema}, error string")
     if store:
-        results = checkpointed(results)
+        results = stored(results)
     return df.withColumn("__key", key).join(results, "__key", "left").drop("__key")
 
 

@@ -7,13 +7,13 @@ blocks, so no token, cell or group of copies is ever handled by one task as a wh
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from callweave.session import checkpointed
+from callweave.session import stored
 
 TOKEN = r"((?U)[\p{L}\p{N}]+)"
 SCORE_DIGITS = 9      # sums differ in their last digits with the order of adding: scores equal here are ties
@@ -110,14 +110,26 @@ def rare_products(left: DataFrame, right: DataFrame) -> DataFrame:
     return l.join(r, ["token", "lb", "rb"]).groupBy("left_id", "right_id").agg(F.sum(F.col("wl") * F.col("wr")).alias("part"))
 
 
-def _frequent_matrix(frame: pd.DataFrame) -> np.ndarray:
+def _pack(values: pd.Series, dtype: type) -> list[bytes | None]:
+    return [None if v is None else np.asarray(v, dtype=dtype).tobytes() for v in values]
+
+
+def _matrix(frame: pd.DataFrame) -> np.ndarray:
+    """Rows of packed ``ix``/``w`` as a matrix; without ``ix`` the weights are the whole row."""
+    flat = np.frombuffer(b"".join(frame["w"]), dtype=np.float64)
+    if frame["ix"].iloc[0] is None:
+        return flat.reshape(len(frame), -1)
     m = np.zeros((len(frame), FREQUENT))
-    sizes = frame["ix"].str.len().to_numpy()
-    if sizes.sum():
-        m[np.repeat(np.arange(len(frame)), sizes), np.concatenate(frame["ix"].to_list())] = np.concatenate(frame["w"].to_list())
+    sizes = frame["w"].map(len).to_numpy() // 8
+    m[np.repeat(np.arange(len(frame)), sizes), np.frombuffer(b"".join(frame["ix"]), dtype=np.int32)] = flat
     return m
 
 
+def _normalise(m: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+
+
 def similar_texts(left: DataFrame, right: DataFrame, threshold: float, k: int | None = None) -> DataFrame:
     """All pairs of distinct texts with TF-IDF cosine > ``threshold``, or the ``k`` best per left text (ties to the
     smaller right id): (left_id, right_id, score).
@@ -126,14 +138,13 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float, k: int |
     the rare ones. The frequent part is a product of blocks of vectors; the rare part comes from an inverted index
     in which no token is frequent. Exact.
     """
-    right_counts, left_counts = term_counts(right), term_counts(left)
-    terms = checkpointed(corpus_terms(right_counts, right.count(), left_counts))
+    right_counts, left_counts = stored(term_counts(right)), stored(term_counts(left))
+    terms = stored(corpus_terms(right_counts, right.count(), left_counts))
     frequent = frequent_terms(terms)
-    rv = checkpointed(text_vectors(right_counts, terms, frequent))
-    lv = checkpointed(text_vectors(left_counts, terms, frequent))
+    rv = stored(text_vectors(right_counts, terms, frequent))
+    lv = stored(text_vectors(left_counts, terms, frequent))
     shape = lambda v: v.select(F.col("text_id").alias("id"), "ix", "w", "rest")
-    return _block_join(shape(lv), shape(rv), "ix array<int>, w array<double>, rest double", _frequent_matrix, threshold, k,
-                       VECTOR_BLOCK, PIVOTS, rare_products(lv, rv))
+    return _block_join(shape(lv), shape(rv), threshold, k, VECTOR_BLOCK, PIVOTS, rare_products(lv, rv))
 
 
 def text_similarity_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str,
@@ -148,31 +159,26 @@ def text_similarity_join(left: DataFrame, right: DataFrame, left_text: str, righ
     )
 
 
-def _normalise(m: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-
-
-def _dense_matrix(frame: pd.DataFrame) -> np.ndarray:
-    return _normalise(np.array(frame["vec"].to_list(), dtype=np.float64).reshape(len(frame), -1))
-
-
 def vector_similarity_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vec: str,
                            right_vec: str, threshold: float, k: int | None = None, block: int = VECTOR_BLOCK,
                            pivots: int = PIVOTS) -> DataFrame:
     """All pairs of vectors with cosine > ``threshold``, or the ``k`` best of them per left row: (left_id, right_id, score)."""
-    shape = lambda df, i, v: df.select(
-        F.col(i).alias("id"), F.col(v).cast("array<double>").alias("vec"), F.lit(0.0).alias("rest")).filter("vec is not null")
-    return _block_join(shape(left, left_id, left_vec), shape(right, right_id, right_vec), "vec array<double>, rest double",
-                       _dense_matrix, threshold, k, block, pivots, None)
+    def shape(df: DataFrame, i: str, v: str) -> DataFrame:
+        vec = F.col(v).cast("array<double>")
+        norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
+        unit = F.transform(vec, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+        return df.filter(F.col(v).isNotNull()).select(
+            F.col(i).alias("id"), F.lit(None).cast("array<int>").alias("ix"), unit.alias("w"), F.lit(0.0).alias("rest"))
 
+    return _block_join(shape(left, left_id, left_vec), shape(right, right_id, right_vec), threshold, k, block, pivots, None)
 
-def _block_join(left: DataFrame, right: DataFrame, payload: str, matrix: Callable[[pd.DataFrame], np.ndarray],
-                threshold: float, k: int | None, block: int, pivots: int, extra: DataFrame | None) -> DataFrame:
-    """Pairs whose product of ``matrix`` rows, plus their ``extra`` part, exceeds the threshold.
 
-    A row with ``rest``, the length of what ``matrix`` leaves out, counts as one more coordinate: the product of two
-    such rows is an upper bound of the score. Right rows go to the cell of their nearest pivot. A left row at angle
+def _block_join(left: DataFrame, right: DataFrame, threshold: float, k: int | None, block: int, pivots: int,
+                extra: DataFrame | None) -> DataFrame:
+    """Pairs of rows (id, ix, w, rest) whose vectors' product, plus their ``extra`` part, exceeds the threshold.
+
+    ``rest`` is the length of what ``w`` leaves out of a unit vector and counts as one more coordinate: the product of
+    two such rows is an upper bound of the score. Right rows go to the cell of their nearest pivot. A left row at angle
     ``a`` to a pivot can only match members of its cell at angles within arccos(threshold) of ``a``; it visits the
     cells where there are such members. Cells are cut into blocks by hash on both sides, and a pair of blocks is one
     matrix product. The driver sees the pivots and one row per cell.
@@ -180,15 +186,19 @@ def _block_join(left: DataFrame, right: DataFrame, payload: str, matrix: Callabl
     spark = left.sparkSession
     l_type, r_type = (df.schema["id"].dataType.simpleString() for df in (left, right))
     out_schema = f"left_id {l_type}, right_id {r_type}, score double"
-    fields = [f.strip().split(" ")[0] for f in payload.split(", ")]
+    fields = ["ix", "w"]
+    payload = "ix binary, w binary"
     sample = right.orderBy(F.xxhash64("id"), "id").limit(pivots).toPandas()
     if sample.empty:
         return spark.createDataFrame([], out_schema)
 
+    def packed(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.assign(ix=_pack(frame["ix"], np.int32), w=_pack(frame["w"], np.float64))
+
     def bounded(frame: pd.DataFrame) -> np.ndarray:
-        return _normalise(np.column_stack([matrix(frame), frame["rest"].to_numpy(dtype=np.float64)]))
+        return _normalise(np.column_stack([_matrix(frame), frame["rest"].to_numpy(dtype=np.float64)]))
 
-    centers = bounded(sample)
+    centers = bounded(packed(sample))
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
 
     def angles(frame: pd.DataFrame) -> np.ndarray:
@@ -197,11 +207,12 @@ def _block_join(left: DataFrame, right: DataFrame, payload: str, matrix: Callabl
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not b.empty:
+                b = packed(b)
                 a = angles(b)
                 cell = a.argmin(axis=1)
                 yield b[["id", *fields]].assign(cell=cell.astype("int32"), angle=a[np.arange(len(b)), cell])
 
-    assigned = checkpointed(right.mapInPandas(assign, f"id {r_type}, {payload}, cell int, angle double"))
+    assigned = stored(right.mapInPandas(assign, f"id {r_type}, {payload}, cell int, angle double"))
     cells = assigned.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"),
                                          F.count("*").alias("n")).toPandas()
     cell_no, lo, hi = cells["cell"].to_numpy(), cells["lo"].to_numpy(), cells["hi"].to_numpy()
@@ -209,11 +220,12 @@ def _block_join(left: DataFrame, right: DataFrame, payload: str, matrix: Callabl
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not b.empty:
+                b = packed(b)
                 a = angles(b)[:, cell_no]
                 near = (a - reach <= hi) & (a + reach >= lo)
                 yield b[["id", *fields]].assign(cells=[cell_no[row].astype("int32") for row in near])
 
-    visits = checkpointed(left.mapInPandas(visit, f"id {l_type}, {payload}, cells array<int>"))
+    visits = stored(left.mapInPandas(visit, f"id {l_type}, {payload}, cells array<int>"))
     # Small cells share a group until a block is full, so few rows make few blocks; large cells have their own.
     group_of, group_size, filled = {}, {}, 0
     for c, n in sorted(zip(cell_no.tolist(), cells["n"].tolist())):
@@ -239,7 +251,7 @@ def _block_join(left: DataFrame, right: DataFrame, payload: str, matrix: Callabl
     if extra is not None:
         where = placed.select(F.col("id").alias("right_id"), "grp", "rb")
         parts = extra.join(where, "right_id").withColumn("lb", spread("left_id", l_blocks)).select(
-            *keys, F.col("left_id").alias("id"), *[F.lit(None).cast(left.schema[f].dataType).alias(f) for f in fields],
+            *keys, F.col("left_id").alias("id"), *[F.lit(None).cast("binary").alias(f) for f in fields],
             "right_id", "part")
         lhs = lhs.unionByName(parts)
 
@@ -250,7 +262,7 @@ def _block_join(left: DataFrame, right: DataFrame, payload: str, matrix: Callabl
             return pd.DataFrame({"left_id": [], "right_id": [], "score": []})
         rpdf = rpdf.sort_values("id", kind="stable")
         l_ids, r_ids = vectors["id"].to_numpy(), rpdf["id"].to_numpy()
-        s = matrix(vectors) @ matrix(rpdf).T
+        s = _matrix(vectors) @ _matrix(rpdf).T
         if len(parts):
             at_l, at_r = pd.Index(l_ids).get_indexer(parts["id"]), pd.Index(r_ids).get_indexer(parts["right_id"])
             known = (at_l >= 0) & (at_r >= 0)

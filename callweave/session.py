@@ -68,6 +68,13 @@ def run_dir(spark: SparkSession, label: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so a lost executor never changes its rows or their layout."""
+    """``df`` in the shared folder by ``checkpoint``, which keeps its partitions and the order of their rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the shared folder: computed once, and not again when an executor is lost."""
+    path = run_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
