@@ -114,12 +114,12 @@ def _pack(values: pd.Series, dtype: type) -> list[bytes | None]:
     return [None if v is None else np.asarray(v, dtype=dtype).tobytes() for v in values]
 
 
-def _matrix(frame: pd.DataFrame) -> np.ndarray:
-    """Rows of packed ``ix``/``w`` as a matrix; without ``ix`` the weights are the whole row."""
+def _matrix(frame: pd.DataFrame, width: int | None) -> np.ndarray:
+    """Rows of packed ``ix``/``w`` as a matrix of ``width`` columns; without a width the weights are the whole row."""
     flat = np.frombuffer(b"".join(frame["w"]), dtype=np.float64)
-    if frame["ix"].iloc[0] is None:
+    if width is None:
         return flat.reshape(len(frame), -1)
-    m = np.zeros((len(frame), FREQUENT))
+    m = np.zeros((len(frame), width))
     sizes = frame["w"].map(len).to_numpy() // 8
     m[np.repeat(np.arange(len(frame)), sizes), np.frombuffer(b"".join(frame["ix"]), dtype=np.int32)] = flat
     return m
@@ -144,7 +144,7 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float, k: int |
     rv = stored(text_vectors(right_counts, terms, frequent))
     lv = stored(text_vectors(left_counts, terms, frequent))
     shape = lambda v: v.select(F.col("text_id").alias("id"), "ix", "w", "rest")
-    return _block_join(shape(lv), shape(rv), threshold, k, VECTOR_BLOCK, PIVOTS, rare_products(lv, rv))
+    return _block_join(shape(lv), shape(rv), FREQUENT, threshold, k, VECTOR_BLOCK, PIVOTS, rare_products(lv, rv))
 
 
 def text_similarity_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str,
@@ -170,11 +170,12 @@ def vector_similarity_join(left: DataFrame, right: DataFrame, left_id: str, righ
         return df.filter(F.col(v).isNotNull()).select(
             F.col(i).alias("id"), F.lit(None).cast("array<int>").alias("ix"), unit.alias("w"), F.lit(0.0).alias("rest"))
 
-    return _block_join(shape(left, left_id, left_vec), shape(right, right_id, right_vec), threshold, k, block, pivots, None)
+    return _block_join(shape(left, left_id, left_vec), shape(right, right_id, right_vec), None, threshold, k, block,
+                       pivots, None)
 
 
-def _block_join(left: DataFrame, right: DataFrame, threshold: float, k: int | None, block: int, pivots: int,
-                extra: DataFrame | None) -> DataFrame:
+def _block_join(left: DataFrame, right: DataFrame, width: int | None, threshold: float, k: int | None, block: int,
+                pivots: int, extra: DataFrame | None) -> DataFrame:
     """Pairs of rows (id, ix, w, rest) whose vectors' product, plus their ``extra`` part, exceeds the threshold.
 
     ``rest`` is the length of what ``w`` leaves out of a unit vector and counts as one more coordinate: the product of
@@ -196,7 +197,7 @@ def _block_join(left: DataFrame, right: DataFrame, threshold: float, k: int | No
         return frame.assign(ix=_pack(frame["ix"], np.int32), w=_pack(frame["w"], np.float64))
 
     def bounded(frame: pd.DataFrame) -> np.ndarray:
-        return _normalise(np.column_stack([_matrix(frame), frame["rest"].to_numpy(dtype=np.float64)]))
+        return _normalise(np.column_stack([_matrix(frame, width), frame["rest"].to_numpy(dtype=np.float64)]))
 
     centers = bounded(packed(sample))
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
@@ -262,7 +263,7 @@ def _block_join(left: DataFrame, right: DataFrame, threshold: float, k: int | No
             return pd.DataFrame({"left_id": [], "right_id": [], "score": []})
         rpdf = rpdf.sort_values("id", kind="stable")
         l_ids, r_ids = vectors["id"].to_numpy(), rpdf["id"].to_numpy()
-        s = _matrix(vectors) @ _matrix(rpdf).T
+        s = _matrix(vectors, width) @ _matrix(rpdf, width).T
         if len(parts):
             at_l, at_r = pd.Index(l_ids).get_indexer(parts["id"]), pd.Index(r_ids).get_indexer(parts["right_id"])
             known = (at_l >= 0) & (at_r >= 0)
@@ -276,7 +277,8 @@ def _block_join(left: DataFrame, right: DataFrame, threshold: float, k: int | No
             rows, cols = rows[keep], cols[keep]
         else:
             rows, cols = np.nonzero(s > threshold)
-        return pd.DataFrame({"left_id": l_ids[rows], "right_id": r_ids[cols], "score": s[rows, cols]})
+        same_type = lambda a: pd.Series(a, dtype=a.dtype)  # noqa: E731 - text ids stay plain objects
+        return pd.DataFrame({"left_id": same_type(l_ids[rows]), "right_id": same_type(r_ids[cols]), "score": s[rows, cols]})
 
     found = lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInPandas(score, out_schema)
     return top_k(found, "left_id", [F.col("score").desc(), F.col("right_id")], k) if k is not None else found
