@@ -260,7 +260,7 @@ def _block_join(left: DataFrame, right: DataFrame, width: int | None, threshold:
         is_part = lpdf["part"].notna().to_numpy()
         vectors, parts = lpdf[~is_part], lpdf[is_part]
         if vectors.empty or rpdf.empty:
-            return pd.DataFrame({"left_id": [], "right_id": [], "score": []})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("left_id", "right_id", "score")})
         rpdf = rpdf.sort_values("id", kind="stable")
         l_ids, r_ids = vectors["id"].to_numpy(), rpdf["id"].to_numpy()
         s = _matrix(vectors, width) @ _matrix(rpdf, width).T
