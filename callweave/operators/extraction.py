@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from callweave import schemas
-from callweave.functions.text import col, long_enough, missing
+from callweave.functions.text import any_of, col, long_enough, missing
 from callweave.operators.similarity import tokens
 
 # One pattern per field; group 1 is the value.
@@ -25,6 +25,18 @@ PATTERNS: dict[str, str] = {
     "return_reason": r"(?:returning it|return it|sending it back) because ([^.!?]+)",
 }
 PHONE_LEAD = "phone is "
+# No pattern matches without one of its texts. Looking for these first spares most texts the pattern.
+NEEDED: dict[str, tuple[str, ...]] = {
+    "customer_name": ("y name is ", "his is "),
+    "customer_phone": ("-", PHONE_LEAD),
+    "customer_email": ("@",),
+    "order_number": ("ORD-",),
+    "product_name": ("calling about ", "bought ", "ordered ", "purchased "),
+    "issue_description": ("problem is ", "issue is "),
+    "resolution_requested": ("I would like ", "I'd like ", "I want "),
+    "shipping_address": ("hip it to ", "y address is "),
+    "return_reason": ("because ",),
+}
 
 
 def pattern_field(text: Column | str, field: str) -> Column:
@@ -32,7 +44,8 @@ def pattern_field(text: Column | str, field: str) -> Column:
     hit = F.regexp_extract(col(text), PATTERNS[field], 1)
     if field == "customer_phone":
         hit = F.replace(hit, F.lit(PHONE_LEAD), F.lit(""))
-    return F.when(hit != "", hit)
+    worth_it = any_of([F.contains(col(text), F.lit(n)) for n in NEEDED[field]])
+    return F.when(worth_it, F.nullif(hit, F.lit("")))
 
 
 def extract_fields(transcripts: DataFrame, products: DataFrame | None = None, text: str = "full_transcript") -> DataFrame:
