@@ -134,7 +134,7 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float, k: int |
     """All pairs of distinct texts with TF-IDF cosine > ``threshold``, or the ``k`` best per left text (ties to the
     smaller right id): (left_id, right_id, score).
 
-    Both sides come from ``distinct_texts``. A score is a sum over the frequent tokens, a fixed number, and one over
+    Both sides come from ``distinct_texts`` and are read several times: store them first. A score is a sum over the frequent tokens, a fixed number, and one over
     the rare ones. The frequent part is a product of blocks of vectors; the rare part comes from an inverted index
     in which no token is frequent. Exact.
     """
@@ -150,7 +150,7 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float, k: int |
 def text_similarity_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str,
                          threshold: float) -> DataFrame:
     """All pairs of distinct texts with cosine > ``threshold``, as texts: (left_text, right_text, score)."""
-    l, r = distinct_texts(left, left_text), distinct_texts(right, right_text)
+    l, r = stored(distinct_texts(left, left_text)), stored(distinct_texts(right, right_text))
     pairs = similar_texts(l, r, threshold)
     return (
         pairs.join(l.select(F.col("text_id").alias("left_id"), F.col("text").alias("left_text")), "left_id")
