@@ -49,10 +49,10 @@ class _Powers:
 _powers = _Powers()
 
 
-def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(first row, bytes, bounds)`` of consecutive rows of a text column; null counts as the empty text.
 
-    Text i of a slice is ``bytes[bounds[i]:bounds[i + 1]]``.
+    Text i of a slice is ``bytes[bounds[i]:bounds[i + 1]]``. A slice has about ``limit`` bytes and ``rows`` rows at most.
     """
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if column.null_count:
@@ -67,7 +67,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + limit, "right")) - 1)
-        last = min(last, n)
+        last = min(last, n, first + rows)
         yield first, data[bounds[first]:bounds[last]], bounds[first:last + 1] - bounds[first]
         first = last
 
