@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import language, licenses, packing, pii, token_output, topk
+from callweave.llm import byte_repeats, language, licenses, packing, pii, token_output, topk, word_repeats
 from callweave.llm.tables import table
 from callweave.session import run_dir
 
@@ -66,3 +66,15 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labels(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op1_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_repeats.without_repeats(docs, byte_repeats.repeated_bytes(docs))
+
+
+@query
+def op8_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return word_repeats.without_repeats(docs, word_repeats.repeated_words(docs))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.session import stored
+from callweave.session import run_dir, stored
 
 __all__ = ["by_slices", "documents", "in_tables", "keep", "release", "stored", "table"]
 
@@ -43,11 +43,14 @@ def by_slices(work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Cal
     return run
 
 
-def in_tables(df: DataFrame, release_after: bool = True) -> DataFrame:
+def in_tables(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again; shuffles that only it needed may then go."""
-    out = stored(df)
-    if release_after:
-        release(df.sparkSession)
+    spark = df.sparkSession
+    path = run_dir(spark, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
     return out
 
 
