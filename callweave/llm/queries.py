@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import byte_repeats, language, licenses, packing, pii, token_output, topk, word_repeats
+from callweave.llm import byte_repeats, jaccard, language, licenses, packing, pii, token_output, topk, word_repeats
 from callweave.llm.tables import table
 from callweave.session import run_dir
 
@@ -78,3 +78,8 @@ def op1_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return word_repeats.without_repeats(docs, word_repeats.repeated_words(docs))
+
+
+@query
+def op6_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_classes(table(spark, sf_dir, "documents"))
