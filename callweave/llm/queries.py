@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import byte_repeats, jaccard, language, licenses, packing, pii, token_output, topk, word_repeats
+from callweave.llm import byte_repeats, decontaminate, jaccard, language, licenses, packing, pii, token_output, topk, word_repeats
 from callweave.llm.tables import table
 from callweave.session import run_dir
 
@@ -83,3 +83,8 @@ def op8_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_benchmark_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
