@@ -1,4 +1,9 @@
-"""A training corpus from raw documents, as stages that are each written as Parquet and read again by the next."""
+"""A training corpus from raw documents, in stages that are each written as Parquet and read again by the next.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage before kept. All but the last return the
+columns of ``documents`` (extra columns stay as they are). A row without ``doc_id`` cannot be told from others and goes in the
+first stage. A null text has no language and goes there too.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +11,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import packing
-from callweave.llm.tables import stored, table
+from callweave.llm import decontaminate, jaccard, language, packing, pii
+from callweave.llm.tables import keep, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def told_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep texts whose language can be told: those with letters whose two nearest codewords are not about equally near."""
+    model = language.learn(docs.where(~language.held_out()))
+    found = language.predict(docs, model)
+    return keep(docs, found.where(f"lang_pred <> '{language.UNKNOWN}' and not ambiguous").select("doc_id"))
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the text with the smallest id of each class of copies and near copies."""
+    return keep(docs, jaccard.similar_classes(docs).where("doc_id = component_id").select("doc_id"))
+
+
+def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts that hold a test item's question and answer."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct().toDF("__found_id")
+    return docs.join(found, docs["doc_id"] == found["__found_id"], "left_anti")
+
+
+def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put pseudonyms in the place of personal data. No row goes."""
+    return pii.pseudonymise(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining texts and their places in sequences of 1,024 tokens."""
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("best_fit_packing", pack_sequences)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", told_languages),
+    ("ngram_jaccard_join", one_of_each_class),
+    ("benchmark_decontamination", without_test_items),
+    ("pii", with_pseudonyms),
+    ("best_fit_packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
 
