@@ -114,10 +114,14 @@ def segment_order(c: Column | str) -> tuple[Column, Column]:
         F.try_element_at(parts, F.lit(2)).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def new_call_id(key: Column | str, length: int = 8) -> Column:
-    """A short call id from the source key, the same on every run. Eight signs collide beyond some 10^4 calls:
-    widen ``length`` with the number of calls."""
-    return F.substring(F.md5(col(key).cast("string")), 1, length)
+def new_call_id(key: Column | str) -> Column:
+    """A call id from the source key, the same on every run: the whole hash, so calls are not merged."""
+    return F.md5(col(key).cast("string"))
+
+
+def shown_call_id(call_id: Column | str) -> Column:
+    """The eight signs that are shown of a call id. They are no key."""
+    return F.substring(col(call_id), 1, 8)
 
 
 def segment_name(c: Column | str) -> list[Column]:

@@ -93,7 +93,11 @@ def matches(c: Column | str, query: Column | str, mode: str = "literal", lower:
     return F.coalesce(hit, F.lit(False))
 
 
-def digits(c: Column | str) -> Column:
-    """The last ten digits of a phone number, so country prefixes and punctuation do not matter."""
-    only = F.regexp_replace(col(c), "[^0-9]", "")
-    return F.when(F.length(only) >= 10, F.right(only, F.lit(10))).when(only != "", only)
+def digits(c: Column | str, country_code: str | None = None) -> Column:
+    """All digits of a phone number. With ``country_code``, a number written as of that country (``+`` or ``00`` and the
+    code) loses the code; numbers of other countries keep theirs."""
+    c = col(c)
+    if country_code is not None:
+        c = F.regexp_replace(c, rf"^\s*(\+|00)\s*{country_code}(?=[^0-9]|[0-9])", "")
+    only = F.regexp_replace(c, "[^0-9]", "")
+    return F.when(only != "", only)

@@ -19,18 +19,23 @@ def slot(kind: Column) -> Column:
     return F.coalesce(*[F.when(kind == k, v) for k, v in SLOTS.items()])
 
 
+def page() -> Column:
+    """The page of an event's list, 0 for events that have one page only."""
+    return F.coalesce(F.get_json_object("payload", "$.page").cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def last_by_type(events: DataFrame) -> DataFrame:
-    """The last event of each (call, type): at most twelve rows per call, combined before the shuffle."""
-    return events.groupBy("call_id", "type").agg(F.max(F.struct("seq", "payload")).alias("last"))
+    """The last event of each (call, type, page), combined before the shuffle."""
+    return events.withColumn("page", page()).groupBy("call_id", "type", "page").agg(F.max(F.struct("seq", "payload")).alias("last"))
 
 
 def latest_state(events: DataFrame) -> DataFrame:
-    """What is shown for each call now: the last payload per slot, unless a later event cleared it."""
+    """What is shown for each call now: all pages of the last event per slot, unless a later event cleared it."""
     return state_of(last_by_type(events))
 
 
 def state_of(last: DataFrame) -> DataFrame:
-    """State from the last events per type. All windows see at most twelve rows per call."""
+    """State from the last events per type and page. Pages of an older event with more of them go with it."""
     call = Window.partitionBy("call_id")
     cleared = lambda kinds: F.max(F.when(F.col("type").isin(*kinds), F.col("last.seq"))).over(call)
     limit = F.when(F.col("slot") == "playback", F.col("playback_cleared")).otherwise(F.col("call_cleared"))
@@ -42,8 +47,9 @@ def state_of(last: DataFrame) -> DataFrame:
             "slot": slot(F.col("type")),
         })
         .filter(F.col("slot").isNotNull() & alive)
-        .groupBy("call_id", "slot").agg(F.max(F.struct("last.seq", "type", "last.payload")).alias("s"))
-        .select("call_id", "slot", "s.type", "s.seq", "s.payload")
+        .withColumn("newest", F.max(F.struct("last.seq", "type")).over(Window.partitionBy("call_id", "slot")))
+        .filter((F.col("last.seq") == F.col("newest.seq")) & (F.col("type") == F.col("newest.type")))
+        .select("call_id", "slot", "type", "page", "last.seq", "last.payload")
     )
 
 

@@ -6,6 +6,8 @@ reasons only in set phrases or when they equal a dictionary entry. ``model.map_m
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from callweave import schemas
@@ -65,7 +67,7 @@ def mentioned_names(texts: DataFrame, names: DataFrame, text: str = "full_transc
     """The dictionary name each text mentions as whole words: the longest, then the first in the text.
 
     Texts are cut into word sequences of the lengths that occur among the names, and these are looked up by
-    equality. The driver sees the distinct lengths only.
+    equality before anything is grouped. The driver sees the distinct lengths only.
     """
     entries = names.distinct().select("name", tokens("name").alias("words")).filter(F.size("words") > 0)
     entries = entries.groupBy(F.array_join("words", " ").alias("phrase"), F.size("words").alias("n")).agg(
@@ -80,8 +82,7 @@ def mentioned_names(texts: DataFrame, names: DataFrame, text: str = "full_transc
 
     phrases = F.flatten(F.array(*[of_length(n) for n in sizes or [1]]))
     places = texts.select("call_id", tokens(text).alias("words")).select("call_id", F.inline(phrases))
-    first = places.groupBy("call_id", "phrase").agg(F.min("at").alias("at"))
-    hits = first.join(entries, "phrase").groupBy("call_id").agg(
+    hits = places.join(entries, "phrase").groupBy("call_id").agg(
         F.min(F.struct((-F.col("n")).alias("shorter"), "at", "name")).alias("hit"))
     return hits.select("call_id", "hit.name")
 
@@ -109,14 +110,24 @@ def label_speakers(chunks: DataFrame, text: str = "transcript_text", role: str |
             sentence, F.lit(CALLER_CUES))
         return F.struct(F.when(agent, "agent").otherwise("caller").alias("speaker"), sentence.alias("text"))
 
-    def merge(done: Column, s: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.struct(s["speaker"].alias("speaker"), F.concat(last["text"], s["text"]).alias("text"))
-        return F.when((F.size(done) > 0) & (last["speaker"] == s["speaker"]),
-                      F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(
-            F.concat(done, F.array(s)))
-
     labelled = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(1)), label)
-    merged = F.aggregate(labelled, F.array().cast("array<struct<speaker:string,text:string>>"), merge)
+
+    def once(value: Column, body: Callable[[Column], Column]) -> Column:
+        """``body`` of ``value``, which is worked out once."""
+        return F.transform(F.array(value), body)[0]
+
+    def segments(sentences: Column) -> Column:
+        """One slice of sentences from each change of the speaker to the next."""
+        changes = F.filter(F.transform(sentences, lambda s, i: F.when(
+            (i == 0) | (s["speaker"] != F.try_element_at(sentences, F.greatest(i, F.lit(1)))["speaker"]), i + 1)), lambda i: i.isNotNull())
+
+        def cut(starts: Column) -> Column:
+            def segment(i: Column, k: Column) -> Column:
+                own = F.slice(sentences, i, F.coalesce(F.try_element_at(starts, k + 2), F.size(sentences) + 1) - i)
+                return F.struct(own[0]["speaker"].alias("speaker"), F.array_join(own["text"], "").alias("text"))
+            return F.transform(starts, segment)
+        return once(changes, cut)
+
+    merged = once(labelled, segments)
     return chunks.withColumn("segments", F.when(
         ~missing(text) & long_enough(text, 5) & (F.size(merged) > 0), merged).otherwise(whole))

@@ -175,7 +175,7 @@ def j10_drop_stale(s, d):
 
 cte("t_last", "SELECT call_id, type, max(seq) AS seq, arg_max(payload, seq) AS payload FROM t_events GROUP BY call_id, type")
 T7_SQL = """
-    SELECT call_id, slot, type, seq, payload FROM (
+    SELECT call_id, slot, type, CAST(0 AS BIGINT) AS page, seq, payload FROM (
         SELECT l.*, CASE type WHEN 'call_started' THEN 'call' WHEN 'transcript_update' THEN 'transcript'
                     WHEN 'extraction_update' THEN 'extraction' WHEN 'customer_match' THEN 'customer' END AS slot,
                max(CASE WHEN type = 'call_started' THEN seq END) OVER (PARTITION BY call_id) AS reset FROM t_last l)
@@ -352,7 +352,7 @@ def a1_text_similarity(s, d):
     JOIN t_name_scores s ON s.left_text = m.mention AND s.right_text = p.product_name""")
 def j7_match_products(s, d):
     bought = od.purchases(ad.order_items(s, d), ad.products(s, d), ad.orders(s, d))
-    return match_products(product_mentions(s, d), bought).withColumn("match_score", F.round("match_score", 6))
+    return match_products(product_mentions(s, d), bought, ad.products(s, d)).withColumn("match_score", F.round("match_score", 6))
 
 
 def issue_cases(s: SparkSession, d: str) -> DataFrame:

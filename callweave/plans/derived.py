@@ -99,27 +99,22 @@ cte("t_events", """
 
 def similarity(left: str, right: str, threshold: float) -> str:
     """Pairs of distinct texts with TF-IDF cosine above the threshold, by scoring every pair that shares a token.
-    ``left`` and ``right`` are queries with one column ``text``."""
+    ``left`` and ``right`` are queries with one column ``text``. Texts and tokens are numbered first, so that the join and
+    the sums work on numbers; texts are looked up at the end."""
     return f"""
-    SELECT left_text, right_text, score FROM (
-        SELECT l.text AS left_text, r.text AS right_text, round(sum(l.w * r.w), 9) AS score
-        FROM ({_weights(left, right)}) l JOIN ({_weights(right, right)}) r ON l.token = r.token
-        GROUP BY l.text, r.text)
-    WHERE score > {threshold}"""
-
-
-def _counts(source: str) -> str:
-    return (f"SELECT text, token, count(*) AS tf FROM (SELECT text, unnest({TOKENS.format('text')}) AS token "
-            f"FROM (SELECT DISTINCT text FROM ({source}) q WHERE text IS NOT NULL) u) v GROUP BY text, token")
-
-
-def _weights(source: str, corpus: str) -> str:
-    return f"""
-        SELECT text, token, w / sqrt(sum(w * w) OVER (PARTITION BY text)) AS w FROM (
-            SELECT c.text, c.token, c.tf * (ln((1 + n.n) / (1.0 + coalesce(d.df, 0))) + 1) AS w
-            FROM ({_counts(source)}) c
-            LEFT JOIN (SELECT token, count(*) AS df FROM ({_counts(corpus)}) x GROUP BY token) d ON d.token = c.token
-            CROSS JOIN (SELECT count(DISTINCT text) AS n FROM ({corpus}) y) n)"""
+    WITH sl AS MATERIALIZED (SELECT text, CAST(row_number() OVER () AS INTEGER) AS id FROM (SELECT DISTINCT text FROM ({left}) q WHERE text IS NOT NULL)),
+    sr AS MATERIALIZED (SELECT text, CAST(row_number() OVER () AS INTEGER) AS id FROM (SELECT DISTINCT text FROM ({right}) q WHERE text IS NOT NULL)),
+    cl AS MATERIALIZED (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest({TOKENS.format('text')}) AS token FROM sl) GROUP BY id, token),
+    cr AS MATERIALIZED (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest({TOKENS.format('text')}) AS token FROM sr) GROUP BY id, token),
+    td AS MATERIALIZED (SELECT token, sum(r) AS df, CAST(row_number() OVER () AS INTEGER) AS t FROM (
+        SELECT token, 1 AS r FROM cr UNION ALL SELECT token, 0 FROM cl) GROUP BY token),
+    wl AS MATERIALIZED (SELECT id, t, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (
+        SELECT c.id, d.t, c.tf * (ln((1 + (SELECT count(*) FROM sr)) / (1.0 + d.df)) + 1) AS w FROM cl c JOIN td d ON d.token = c.token)),
+    wr AS MATERIALIZED (SELECT id, t, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM (
+        SELECT c.id, d.t, c.tf * (ln((1 + (SELECT count(*) FROM sr)) / (1.0 + d.df)) + 1) AS w FROM cr c JOIN td d ON d.token = c.token)),
+    sp AS MATERIALIZED (SELECT l.id AS l, r.id AS r, round(sum(l.w * r.w), 9) AS score FROM wl l JOIN wr r ON l.t = r.t
+        GROUP BY l.id, r.id HAVING round(sum(l.w * r.w), 9) > {threshold})
+    SELECT sl.text AS left_text, sr.text AS right_text, score FROM sp JOIN sl ON sl.id = sp.l JOIN sr ON sr.id = sp.r"""
 
 
 cte("t_mentions", """

@@ -94,7 +94,7 @@ def s1_candidate_values(s, d):
            CASE WHEN NOT ok THEN 'unexpected file name' END AS error
     FROM (SELECT *, role <> 'system' AS ok FROM conversations)""")
 def s2_segment_names(s, d):
-    name = F.concat_ws("_", F.lit("9999"), shapes.new_call_id("conv_id"), F.col("turn").cast("string"),
+    name = F.concat_ws("_", F.lit("9999"), shapes.shown_call_id(shapes.new_call_id("conv_id")), F.col("turn").cast("string"),
                        (F.lit(1700000000) + F.col("turn")).cast("string"),
                        F.when(F.col("role") == "user", "primary").otherwise("secondary"))
     listing = raw(s, d, "conversations").select(
@@ -327,9 +327,11 @@ def p13_head(s, d):
     return raw(s, d, "documents").select("doc_id", F.length(first).cast("bigint").alias("n"), F.md5(first).alias("h"))
 
 
-@query("p14_new_call_id", "SELECT conv_id, turn, substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS call_id FROM conversations")
+@query("p14_new_call_id", """SELECT conv_id, turn, md5(CAST(conv_id AS VARCHAR)) AS call_id,
+    substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS shown_id FROM conversations""")
 def p14_new_call_id(s, d):
-    return raw(s, d, "conversations").select("conv_id", "turn", shapes.new_call_id("conv_id").alias("call_id"))
+    ids = raw(s, d, "conversations").select("conv_id", "turn", shapes.new_call_id("conv_id").alias("call_id"))
+    return ids.withColumn("shown_id", shapes.shown_call_id("call_id"))
 
 
 @query("j1_items_with_products", """SELECT order_id, i.product_id, name AS product_name, quantity, CAST(i.price AS DOUBLE) AS price

@@ -16,7 +16,7 @@ def dedup_stream(df: DataFrame, keys: list[str], ts: str, delay: str = "10 minut
 
 
 def last_by_type_stream(events: DataFrame) -> DataFrame:
-    """Last event per (call, type), to be written in update mode; ``events.state_of`` turns rows into the state."""
+    """Last event per (call, type, page), to be written in update mode; ``events.state_of`` turns rows into the state."""
     return last_by_type(events)
 
 

@@ -235,12 +235,36 @@ def test_ids_are_dense_with_a_hot_value(spark):
     assert [(r["a"], r["b"]) for r in out] == sorted((r["a"], r["b"]) for r in out)
 
 
-def test_pages_keep_all_rows(spark):
+@pytest.mark.parametrize("size", [1, 7, 100, 1000])
+def test_pages_depend_on_their_key_only(spark, size):
     df = spark.range(250).select(F.when(F.col("id") < 240, "hot").otherwise("cold").alias("k"), F.col("id").alias("v"))
-    pages = paged(df, "k", [F.col("v")], ["v"], 100, F.floor(F.col("v") / 130)).collect()
-    assert sorted(i["v"] for p in pages for i in p["items"]) == list(range(250))
-    assert max(len(p["items"]) for p in pages) <= 100
-    assert [(p["block"], p["page"]) for p in pages if p["k"] == "cold"] == [("", 0)]
+    many = df.union(spark.range(1500).select(F.concat(F.lit("k"), "id"), "id"))
+    pages = lambda rows: {(p["k"], p["page"]): [i["v"] for i in p["items"]] for p in paged(
+        rows, "k", [F.col("v").desc()], ["v"], size, F.lpad(F.floor(F.col("v") / 130).cast("string"), 3, "0"), True).collect()}
+    expected = {(k, n // size): list(range(high - n, max(low, high - n - size), -1)) for k, low, high in (("hot", -1, 239), ("cold", 239, 249))
+                for n in range(0, high - low, size)}
+    assert pages(df) == expected
+    assert {k: v for k, v in pages(many).items() if k[0] in ("hot", "cold")} == expected
+
+
+def test_phones_of_two_countries_differ(spark):
+    rows = ["+1 (206) 555-0100", "206-555-0100", "00 1 206 555 0100", "+44 206 555 0100", "+12065550100", "", None, "x"]
+    df = spark.createDataFrame([(v,) for v in rows], "p string")
+    assert [r[0] for r in df.select(tx.digits("p", "1")).collect()] == ["2065550100"] * 3 + ["442065550100", "2065550100", None, None, None]
+    assert df.select(tx.digits("p")).first()[0] == "12065550100"
+
+
+def test_long_mentions_are_found(spark):
+    name = "n" * 120 + "abc" * 60
+    customers = spark.createDataFrame([(5, name, None, None), (6, "abc", "1", "e")], "customer_id long, name string, phone string, email string")
+    mentions = spark.createDataFrame([("a", name[3:254]), ("b", name), ("c", name + "x"), ("d", "ABC")], "call_id string, mention string")
+    found = cu.find_by_substring(mentions, customers).collect()
+    assert sorted((r["call_id"], r["customer_id"]) for r in found) == [("a", 5), ("b", 5), ("d", 5)]
+
+
+def test_call_ids_are_whole_hashes(spark):
+    ids = spark.range(2).select(shapes.new_call_id("id").alias("i")).select("i", shapes.shown_call_id("i").alias("s")).collect()
+    assert all(len(r["i"]) == 32 and r["i"].startswith(r["s"]) and len(r["s"]) == 8 for r in ids)
 
 
 def test_constraints(spark):

@@ -101,7 +101,7 @@ def test_product_match_keeps_order_lines(spark):
     bought = spark.createDataFrame([(1, "Blue Kettle", 7), (1, "Blue Kettle", 8), (1, "Lamp", 9), (2, "Lamp", 10)], "customer_id long, product_name string, order_id long")
     bought = bought.withColumns({c: F.lit("x") for c in ("category", "sku", "order_number", "order_status", "tracking_number")}).withColumns(
         {"price": F.lit(None).cast("decimal(10,2)"), "quantity": F.lit(1), "order_date": F.lit(None).cast("date")})
-    out = match_products(mentions, bought)
+    out = match_products(mentions, bought, bought.select(F.col("product_name").alias("name")))
     assert sorted((r["call_id"], r["order_id"], r["price"]) for r in out.collect()) == [("c1", 7, 0.0), ("c1", 8, 0.0), ("c2", 7, 0.0), ("c2", 8, 0.0)]
 
 

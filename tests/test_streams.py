@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from callweave import schemas
 from callweave.config import JobConfig
 from callweave.operators import events as ev, transcript as tr
+from callweave.operators.matching import match_products
 from callweave.plans.enrich import References, call_times, enrich
+from callweave.session import run_dir
 from callweave.sources import adapters as ad
 from callweave.sources.chunks import read_chunks
 from callweave.streaming import events as se, jobs, transcripts as st
@@ -56,8 +58,8 @@ def test_latest_state_and_dedup(spark, sf_dir, tmp_path):
     rows = ad.call_events(spark, sf_dir).select("call_id", "seq", "ts", "type", "payload")
     path = files(spark, rows, str(tmp_path / "in"), 2, 2)
     stream = lambda: read_chunks(spark, path, rows.schema, files_per_trigger=1)
-    out = jobs.collect_stream(spark, se.last_by_type_stream(stream()), "call_id string, type string, last struct<seq: bigint, payload: string>", "s", "update")
-    state = ev.state_of(jobs.last_update(out, ["call_id", "type"]))
+    out = jobs.collect_stream(spark, se.last_by_type_stream(stream()), "call_id string, type string, page long, last struct<seq: bigint, payload: string>", "s", "update")
+    state = ev.state_of(jobs.last_update(out, ["call_id", "type", "page"]))
     assert sorted(map(tuple, state.collect())) == sorted(map(tuple, ev.latest_state(rows).collect()))
     unique = se.dedup_stream(stream().select("seq", "ts"), ["seq"], "ts", "3650 days")
     seen = jobs.collect_stream(spark, unique, "seq long", "d").select("seq")
@@ -76,32 +78,32 @@ def test_late_rows_and_repeated_batches(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def worked_example(spark):
-    """One caller of the top tier, five cases of one defect in different words and two others."""
-    people = [(1, "Dana Field", "dana@mail.example", "8005550001", "PLATINUM")] + [
-        (i, f"Person {chr(64 + i)}", f"p{i}@mail.example", f"80055500{i:02d}", "GOLD") for i in range(2, 9)]
-    customers = spark.createDataFrame([(*p, None) for p in people], schemas.TABLES["customers"])
-    names = ["Studio Over-Ear Headphones", "Fitness Watch", "Trail Shoes", "Drip Coffee Machine", "City Backpack", "Linen Shirt", "Gym Mat",
-             "Pocket Speaker", "Steel Bottle", "Power Bank"]
-    products = spark.createDataFrame([(i + 1, n, "c", f"SKU{i}") for i, n in enumerate(names)], "product_id long, name string, category string, sku string")
-    products = products.withColumn("price", F.lit(50).cast("decimal(10,2)"))
-    numbers = [(i, 1 if i < 5 else i - 3, f"N-{i}", f"2025-01-{i:02d}", None if i in (3, 4) else f"T-{i}") for i in range(1, 12)]
-    orders = spark.createDataFrame(numbers, "order_id long, customer_id long, order_number string, d string, tracking_number string").select(
-        "order_id", "customer_id", "order_number", F.to_date("d").alias("order_date"), F.lit("SHIPPED").alias("status"),
-        F.lit(60).cast("decimal(12,2)").alias("total"), "tracking_number")
-    lines = [(1, 1), (1, 2), (2, 3), (3, 5), (3, 6), (3, 7), (4, 4)] + [(i, 1) for i in range(5, 12)]
-    items = spark.createDataFrame(lines, "order_id long, product_id long").withColumns(
-        {"quantity": F.lit(1).cast("long"), "price": F.lit(50).cast("decimal(12,2)")})
-    issues = ["left ear sound keeps cutting out during calls", "sound in the left ear drops and keeps cutting out", "left ear goes silent, no sound at all",
-              "the left ear is dead, sound only on the right", "left ear sound keeps dropping out when moving",
-              "shoes arrived in the wrong size", "how do I pair the speaker with a television"]
-    rows = [(i + 1, f"CASE-{i + 1}", i + 2, f"Person {chr(66 + i)}", 1 if i < 5 else 3, names[0] if i < 5 else names[2], "DEFECT" if i < 5 else "INQUIRY",
-             "CLOSED" if i % 2 == 0 else "OPEN", "HIGH", t, "Replacement sent." if i % 2 == 0 else None) for i, t in enumerate(issues)]
-    cases = spark.createDataFrame(rows, schemas.TABLES["cases"].rsplit(",", 1)[0]).withColumn("opened_date", F.to_date(F.lit("2025-02-01")))
+    """A seller of garden pumps: three customers report that pump P20 leaks at the gasket, eight other cases are about other things."""
+    customers = spark.createDataFrame(
+        [(70 + i, f"{a} {b}", f"{a.lower()}@garden.example", f"20655501{i:02d}", t, None) for i, (a, b, t) in enumerate([
+            ("Ines", "Moreau", "SILVER"), ("Tomas", "Beck", "SILVER"), ("Ruth", "Okafor", "GOLD"), ("Piotr", "Lis", "PLATINUM"), ("Mei", "Tan", "GOLD")])],
+        schemas.TABLES["customers"])
+    pumps = {20: "Submersible Pond Pump", 21: "Hand Lever Well Pump", 22: "Rain Barrel Tap", 23: "Hose Coupling Brass"}
+    products = spark.createDataFrame([(k, n, "water", f"W{k}") for k, n in pumps.items()], "product_id long, name string, category string, sku string")
+    products = products.withColumn("price", F.lit(31).cast("decimal(10,2)"))
+    bought = {400: (72, "2023-06-04", [20, 23]), 401: (72, "2023-08-19", [22]), 402: (70, "2023-05-01", [20]), 403: (71, "2023-05-02", [20, 21]),
+              404: (74, "2023-07-30", [22, 22, 23])}
+    orders = spark.createDataFrame([(o, c, f"GP{o}", d) for o, (c, d, _) in bought.items()], "order_id long, customer_id long, order_number string, d string").select(
+        "order_id", "customer_id", "order_number", F.to_date("d").alias("order_date"), F.lit("DELIVERED").alias("status"),
+        F.lit(93).cast("decimal(12,2)").alias("total"), F.lit(None).cast("string").alias("tracking_number"))
+    items = spark.createDataFrame([(o, k) for o, (_, _, ks) in bought.items() for k in ks], "order_id long, product_id long").withColumns(
+        {"quantity": F.lit(2).cast("long"), "price": F.lit(62).cast("decimal(12,2)")})
+    texts = ["water leaks from the gasket of the pump housing", "the housing gasket leaks water after an hour", "gasket not tight, pump housing leaks water",
+             "handle squeaks", "wrong colour delivered", "tap drips a little", "invoice shows the old address", "coupling thread too wide",
+             "can it run on solar power", "lever bent in transport", "no manual in the parcel"]
+    rows = [(900 + i, f"G-{900 + i}", 70 + i % 5, "x", 20 if i < 3 else 21 + i % 3, pumps[20 if i < 3 else 21 + i % 3], "DEFECT" if i < 3 else "RETURN" if i % 2 else "INQUIRY",
+             "CLOSED" if i in (0, 1, 4) else "OPEN", "MEDIUM", t, "Refund to the card." if i in (0, 1, 4) else None) for i, t in enumerate(texts)]
+    cases = spark.createDataFrame(rows, schemas.TABLES["cases"].rsplit(",", 1)[0]).withColumn("opened_date", F.to_date(F.lit("2023-09-09")))
     return References(customers, products, orders, items, cases)
 
 
-TURNS = ["Hello, my name is Dana Field.", "Thank you for calling, how can I help?", "I am calling about my over-ear headphones, order N-1.",
-         "The problem is that the left ear sound keeps cutting out. I would like a replacement."]
+TURNS = ["Good morning. My name is Ruth Okafor.", "Could you tell me the order?", "I am calling about my pond pump, order GP400.",
+         "The problem is that water leaks from the gasket of the housing. I would like a refund."]
 
 
 def call(spark, n=1):
@@ -126,19 +128,59 @@ def test_worked_example(spark, worked_example):
     config = JobConfig(similarity_threshold_case=0.1)
     nothing = spark.createDataFrame([], schemas.TABLES["call_candidate_values"])
     out = enrich(transcripts, worked_example, nothing, config, by_name_only=True)
-    events = {r["type"]: json.loads(r["payload"]) for r in out.events.collect()}
+    rows = out.events.collect()
+    events = {r["type"]: json.loads(r["payload"]) for r in rows}
     assert set(events) == {"extraction_update", "customer_match", "product_match", "similar_cases", "recommendations"}
-    assert events["customer_match"]["customer"]["customer_id"] == 1
-    assert [o["order_id"] for o in events["customer_match"]["orders"]] == [4, 3, 2, 1]
-    assert [len(o["items"]) for o in events["customer_match"]["orders"]] == [1, 3, 1, 2]
-    assert events["product_match"]["products"][0]["product_name"] == "Studio Over-Ear Headphones"
-    assert {c["case_number"] for c in events["similar_cases"]["cases"][:5]} == {f"CASE-{i}" for i in range(1, 6)}
+    assert [r["type"] for r in sorted(rows, key=lambda r: r["seq"])] == ["extraction_update", "customer_match", "product_match", "similar_cases", "recommendations"]
+    assert all(str(r["ts"]) == "2025-03-01 00:00:00" for r in rows)
+    assert events["customer_match"]["customer"]["customer_id"] == 72
+    assert [(o["order_id"], len(o["items"])) for o in events["customer_match"]["orders"]] == [(401, 1), (400, 2)]
+    assert [p["product_name"] for p in events["product_match"]["products"]] == ["Submersible Pond Pump"]
+    assert {c["case_number"] for c in events["similar_cases"]["cases"][:3]} == {"G-900", "G-901", "G-902"}
     options = events["recommendations"]["recommendations"]
-    assert 3 <= len(options) <= 5 and options[0]["icon"] == "replace" and options[0]["rank"] == 1
+    assert 3 <= len(options) <= 5 and options[0]["icon"] == "refund" and options[0]["rank"] == 1
     again = enrich(transcripts, worked_example, out.candidates, config, by_name_only=True)
     assert again.candidates.count() == 0 and content(again.events) == content(out.events)
 
 
+def test_products_of_a_call_do_not_depend_on_other_calls(spark):
+    catalogue = spark.createDataFrame([(n,) for n in ("red lamp", "blue lamp", "red chair", "green table", "oak shelf")], "name string")
+    lines = spark.createDataFrame([(1, "blue lamp"), (1, "red chair"), (2, "red lamp"), (3, "oak shelf")], "customer_id long, product_name string").select(
+        "*", *[F.lit(1).alias(c) for c in ("price", "quantity", "order_id")],
+        *[F.lit("x").alias(c) for c in ("category", "sku", "order_number", "order_status", "tracking_number")], F.lit("2023-01-01").cast("date").alias("order_date"))
+    asked = spark.createDataFrame([("a", 1, "red lamp"), ("b", 2, "red lamp"), ("c", 3, "red lamp"), ("d", 1, "none")], "call_id string, customer_id long, mention string")
+    rows = lambda calls: sorted((r["call_id"], r["product_name"], r["match_score"]) for r in match_products(calls, lines, catalogue).collect())
+    together = rows(asked)
+    assert [r[:2] for r in together] == [("a", "blue lamp"), ("a", "red chair"), ("b", "red lamp")]
+    assert together == sum((rows(asked.filter(F.col("call_id") == c)) for c in "abcd"), [])
+    assert rows(asked.filter("call_id = 'b'"))[0][2] == 1.0
+
+
+def test_state_holds_all_pages_of_the_newest_run(spark, worked_example):
+    chunks = call(spark)
+    nothing = spark.createDataFrame([], schemas.TABLES["call_candidate_values"])
+
+    def run(turns):
+        own = chunks.filter(F.col("chunk_number") < turns)
+        transcripts = tr.full_transcript(own).join(call_times(own), "call_id")
+        return enrich(transcripts, worked_example, nothing, JobConfig(page_size=2, similarity_threshold_case=0.1), by_name_only=True).events
+
+    old, new = run(3), run(4)
+    events = old.unionByName(new)
+    state = ev.latest_state(events).collect()
+    slots = {"extraction_update": "extraction", "customer_match": "customer", "product_match": "products", "similar_cases": "cases", "recommendations": "recommendations"}
+    expected = sorted((slots[r["type"]], json.loads(r["payload"]).get("page", 0), r["payload"]) for r in new.collect())
+    assert sorted((r["slot"], r["page"], r["payload"]) for r in state) == expected
+    assert max(p for s, p, _ in expected if s == "extraction") > 0
+    path = run_dir(spark, "two-runs")
+    for part in (new, old):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = read_chunks(spark, path, events.schema, files_per_trigger=1)
+    out = jobs.collect_stream(spark, se.last_by_type_stream(stream), "call_id string, type string, page long, last struct<seq: bigint, payload: string>", "s", "update")
+    again = ev.state_of(jobs.last_update(out, ["call_id", "type", "page"])).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, state))
+
+
 def test_enrichment_stream_equals_batch(spark, worked_example, tmp_path):
     chunks = call(spark, 2).withColumn("ended", F.col("chunk_number") == 3)
     source = str(tmp_path / "in")
