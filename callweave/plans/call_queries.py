@@ -438,11 +438,16 @@ def g5_recommendation_context(s, d):
         "call_id", "loyalty_tier", "product_name", "past_resolutions", F.md5("prompt").alias("prompt_md5"))
 
 
-_icon = "CASE " + " ".join(f"WHEN regexp_matches(resolution, '{p}') THEN '{i}'" for i, p in rc.KEYWORDS.items()) + " END"
-_weight = "CASE " + " ".join(f"WHEN loyalty_tier = '{t}' AND icon = '{i}' THEN {w}" for t, ws in rc.TIER_WEIGHTS.items()
-                             for i, w in ws.items()) + " ELSE 1.0 END"
-_fill = "CASE loyalty_tier " + " ".join("WHEN '{}' THEN [{}]".format(t, ", ".join(f"'{i}'" for i in v))
-                                        for t, v in rc.TIER_DEFAULTS.items()) + " END"
+# Expected values spelled out, not taken from the code under test.
+_icon = """CASE WHEN regexp_matches(resolution, '(?i)refund|money back') THEN 'refund' WHEN regexp_matches(resolution, '(?i)replace') THEN 'replace'
+    WHEN regexp_matches(resolution, '(?i)upgrad') THEN 'upgrade' WHEN regexp_matches(resolution, '(?i)discount|percent off') THEN 'discount'
+    WHEN regexp_matches(resolution, '(?i)escalat|engineer') THEN 'escalate' WHEN regexp_matches(resolution, '(?i)repair|fixed') THEN 'repair'
+    WHEN regexp_matches(resolution, '(?i)credit') THEN 'credit' WHEN regexp_matches(resolution, '(?i)exchange') THEN 'exchange' END"""
+_weight = """CASE WHEN loyalty_tier = 'PLATINUM' AND icon = 'upgrade' THEN 1.5 WHEN loyalty_tier = 'PLATINUM' AND icon = 'refund' THEN 1.25
+    WHEN loyalty_tier = 'GOLD' AND icon = 'replace' THEN 1.25 WHEN loyalty_tier = 'GOLD' AND icon = 'credit' THEN 1.25
+    WHEN loyalty_tier = 'SILVER' AND icon = 'discount' THEN 1.25 ELSE 1.0 END"""
+_fill = """CASE loyalty_tier WHEN 'PLATINUM' THEN ['upgrade', 'refund', 'replace'] WHEN 'GOLD' THEN ['replace', 'refund', 'credit']
+    WHEN 'SILVER' THEN ['replace', 'discount', 'repair'] WHEN 'UNKNOWN' THEN ['replace', 'repair', 'escalate'] END"""
 
 
 @query("e3_recommend", f"""
@@ -465,11 +470,15 @@ def e3_recommend(s, d):
         F.nullif(used, F.lit("")).cast("bigint")).cast("bigint").alias("cases"))
 
 
-@query("w9_recommendation_rank", """SELECT doc_id, i + 1 AS rank, [source, lang][i + 1] AS action FROM documents CROSS JOIN (SELECT unnest([0, 1]) AS i)""")
+@query("w9_recommendation_rank", f"""
+    SELECT call_id, i AS rank, icons[i] AS icon FROM (SELECT customer_id AS call_id, {_fill} AS icons FROM t_customers)
+    CROSS JOIN (SELECT unnest([1, 2, 3]) AS i)""")
 def w9_recommendation_rank(s, d):
-    options = F.array(*[F.struct(F.col(c).alias("action")) for c in ("source", "lang")])
-    rows = raw(s, d, "documents").select("doc_id", F.posexplode(options).alias("i", "r"))
-    return rows.select("doc_id", (F.col("i") + 1).cast("bigint").alias("rank"), "r.action")
+    """Every customer as a call about nothing known: the options of its tier in their order."""
+    tiers = ad.customers(s, d).select(F.col("customer_id").alias("call_id"), "loyalty_tier")
+    calls = tiers.select("call_id", *[F.lit("").alias(c) for c in ("product_name", "issue_description", "full_transcript")])
+    nothing = s.createDataFrame([], "call_id long, position long, resolution string, match_score double")
+    return rc.recommend(rc.recommendation_context(calls, tiers, nothing), nothing).select("call_id", "rank", "icon")
 
 
 @query("g7_defect_patterns", """
@@ -521,6 +530,16 @@ def enriched(s: SparkSession, d: str):
     return enrich(transcripts, references(s, d), nothing)
 
 
+@query("t6_enrich_counts", """
+    SELECT 'extraction_update' AS type, count(*) AS events FROM t_intro
+    UNION ALL SELECT 'customer_match', count(*) FROM t_intro
+    UNION ALL SELECT 'recommendations', count(*) FROM t_intro""")
+def t6_enrich_counts(s, d):
+    """Events that every introduced call has: its fields, its customer and its options."""
+    counts = enriched(s, d).events.groupBy("type").agg(F.count("*").alias("events"))
+    return counts.filter(F.col("type").isin("extraction_update", "customer_match", "recommendations"))
+
+
 @query("t6_enrich")
 def t6_enrich(s, d):
     return enriched(s, d).events

@@ -147,6 +147,14 @@ def s7_reset_runtime(s, d):
     return left.select("call_id", "chunk_number", "transcript_text")
 
 
+@query("s7_reset_all", "SELECT call_id, chunk_number, transcript_text FROM t_turns WHERE false UNION ALL SELECT 'rows before', count(*), '' FROM t_turns")
+def s7_reset_all(s, d):
+    """The full reset leaves nothing; one row tells how many rows there were."""
+    turns = ad.turns(s, d)
+    before = turns.agg(F.count("*").alias("n")).select(F.lit("rows before").alias("call_id"), F.col("n").alias("chunk_number"), F.lit("").alias("transcript_text"))
+    return sinks.reset_runtime(turns).select("call_id", "chunk_number", "transcript_text").unionByName(before)
+
+
 @query("s8_events", """SELECT 'customer_match' AS type, CAST(conv_id AS VARCHAR) AS call_id, conv_id AS seq,
        concat('{"customer_id":', customer_id, ',"name":"', name, '","loyalty_tier":"', loyalty_tier, '"}') AS payload FROM t_intro""")
 def s8_events(s, d):
@@ -200,6 +208,32 @@ def q1_check_constraints(s, d):
     return checks.check_constraints(tables, rules)
 
 
+SHIPPED_SQL = " UNION ALL ".join(
+    [f"SELECT '{t}' AS table_name, '{c}' AS column_name, 'not_null' AS rule, count(*) FILTER (WHERE {c} IS NULL) AS violations FROM {v}" for t, v, c in (
+        ("customers", "t_customers", "customer_id"), ("customers", "t_customers", "name"), ("products", "t_products", "product_id"),
+        ("products", "t_products", "name"), ("orders", "t_orders", "order_id"), ("orders", "t_orders", "customer_id"),
+        ("orders", "t_orders", "order_number"), ("order_items", "t_items", "order_id"), ("order_items", "t_items", "product_id"),
+        ("cases", "t_cases", "case_id"), ("cases", "t_cases", "case_number"))]
+    + [f"SELECT '{t}', '{c}', 'max_length_{n}', count(*) FILTER (WHERE length({c}) > {n}) FROM t_{t}" for t, c, n in (
+        ("customers", "name", 200), ("customers", "email", 200), ("customers", "phone", 20), ("products", "name", 200), ("products", "sku", 50),
+        ("orders", "order_number", 50), ("cases", "issue_description", 2000), ("cases", "resolution", 2000))]
+    + [f"SELECT '{t}', '{c}', 'domain', count(*) FILTER (WHERE {c} NOT IN ({v})) FROM t_{t}" for t, c, v in (
+        ("customers", "loyalty_tier", "'PLATINUM', 'GOLD', 'SILVER'"), ("orders", "status", "'PENDING', 'PROCESSING', 'SHIPPED', 'DELIVERED'"),
+        ("cases", "case_type", "'DEFECT', 'RETURN', 'INQUIRY'"), ("cases", "status", "'OPEN', 'CLOSED'"),
+        ("cases", "priority", "'CRITICAL', 'HIGH', 'MEDIUM', 'LOW'"))]
+    + [f"SELECT '{t}', '{c}', 'unique', count(*) FROM (SELECT {c} FROM t_{t} GROUP BY {c} HAVING count(*) > 1)" for t, c in (
+        ("customers", "customer_id"), ("products", "product_id"), ("orders", "order_id"), ("cases", "case_id"))]
+    + [f"SELECT '{t}', '{c}', 'references_{p}', count(*) FROM t_{v} WHERE {c} NOT IN (SELECT {c} FROM t_{p})" for t, v, c, p in (
+        ("orders", "orders", "customer_id", "customers"), ("order_items", "items", "order_id", "orders"), ("order_items", "items", "product_id", "products"))])
+
+
+@query("q1_shipped_rules", SHIPPED_SQL)
+def q1_shipped_rules(s, d):
+    return checks.check_constraints({
+        "customers": ad.customers(s, d), "orders": ad.orders(s, d), "order_items": ad.order_items(s, d), "cases": ad.cases(s, d),
+        "products": ad.products(s, d)})
+
+
 @query("q2_row_counts", """
     SELECT * FROM (SELECT 'customers' AS table_name, count(*) AS row_count FROM customer
     UNION ALL SELECT 'products', count(*) FROM part UNION ALL SELECT 'orders', count(*) FROM orders
