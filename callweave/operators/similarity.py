@@ -18,7 +18,7 @@ from callweave.session import stored
 TOKEN = r"((?U)[\p{L}\p{N}]+)"
 SCORE_DIGITS = 9      # sums differ in their last digits with the order of adding: scores equal here are ties
 FREQUENT = 2048       # tokens in the frequent part of a text vector
-TOKEN_BLOCK = 20_000  # postings of one rare token per block
+TOKEN_BLOCK = 2_000   # postings of one rare token per block
 VECTOR_BLOCK = 2048   # vectors of one cell per block
 PIVOTS = 64
 SPREAD = 1024

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,9 +65,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+_written: list[tuple[int, str]] = []  # thread and path
+
+
 def run_dir(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _written.append((threading.get_ident(), path))
+    return path
+
+
+@contextmanager
+def dropping_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the paths that this thread begins within the block when it ends. What is to stay must be written elsewhere by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for entry in [w for w in _written if w not in before and w[0] == threading.get_ident()]:
+            place = jvm.org.apache.hadoop.fs.Path(entry[1])
+            place.getFileSystem(conf).delete(place, True)
+            _written.remove(entry)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

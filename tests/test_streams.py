@@ -12,7 +12,7 @@ from callweave.config import JobConfig
 from callweave.operators import events as ev, transcript as tr
 from callweave.operators.matching import match_products
 from callweave.plans.enrich import References, call_times, enrich
-from callweave.session import run_dir
+from callweave.session import run_dir, shared_dir
 from callweave.sources import adapters as ad
 from callweave.sources.chunks import read_chunks
 from callweave.streaming import events as se, jobs, transcripts as st
@@ -189,7 +189,10 @@ def test_enrichment_stream_equals_batch(spark, worked_example, tmp_path):
     config = JobConfig(similarity_threshold_case=0.1)
     stream = read_chunks(spark, source, chunks.schema, files_per_trigger=1)
     path = str(tmp_path / "out")
+    shared = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
     jobs.enrich_stream(stream, worked_example, path, config)
+    assert not [f for f in set(os.listdir(shared)) - before if f.startswith("table-")]  # a batch's own tables are gone
     events = spark.read.parquet(os.path.join(path, "events"))
     last = events.filter(F.col("batch_id") == events.agg(F.max("batch_id")).first()[0]).drop("batch_id")
     nothing = spark.createDataFrame([], schemas.TABLES["call_candidate_values"])
