@@ -8,8 +8,9 @@ texts. Lists of the nodes that share such a shingle give candidates:
   That links large groups by as many pairs as they have members;
 * a last round with all pairs of nodes of a list that are still in different classes and were not tested.
 
-So a pair of similar nodes is tested or already in one class, and no link between classes is lost. A test is a T-occurrence
-search: the query's shingles have inverted lists over its candidates, the long ones are set aside, the short ones are merged
+So a pair of similar nodes is tested or already in one class, and no link between classes is lost. Candidates first have to pass
+a bound: of the numbers of their shingles in 128 parts of the hash range, the smaller ones add up to at least what they can share.
+Only nodes of pairs that pass need their shingles. A test is a T-occurrence search: the query's shingles have inverted lists over its candidates, the long ones are set aside, the short ones are merged
 by a heap, and candidates that may still reach their overlap are looked up in the long lists by binary search (DivideSkip).
 """
 
@@ -33,6 +34,7 @@ LEADER_ROUNDS = 2
 COUNTERS = 1 << 20
 CHUNKS = 64
 BLOCK = 256  # candidates of one query that are searched together
+PARTS = 128  # of the hash range, for the bound
 WEIGHT = 0.0085  # of a long list's length, for how many lists are set aside
 
 Pairs = DataFrame
@@ -66,24 +68,40 @@ def set_names(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return arrays.mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
+def spread(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row per set: how many of its elements lie in each part of the hash range."""
+    n = len(bounds) - 1
+    text = np.repeat(np.arange(n), np.diff(bounds))
+    counts = np.bincount(text * PARTS + ((hashes >> np.uint64(20)) % np.uint64(PARTS)).astype(np.int64), minlength=n * PARTS)
+    return np.minimum(counts, 65535).astype("<u2").reshape(n, PARTS)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the bound leaves room for the overlap that sets of sizes ``n`` and ``m`` need. Full counters bound nothing."""
+    full = (a == 65535).any(1) | (b == 65535).any(1)
+    return full | (np.minimum(a, b).astype(np.int64).sum(1) >= required(n, m))
+
+
 def named_sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``(doc_id, node, n)`` of all texts, and how many texts have shingles of each counter."""
+    """``(doc_id, node, n, spread)`` of all texts, and how many texts have shingles of each counter."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, np.int64)
-        names = ["doc_id", "node", "n", "chunk", "counts"]
+        names = ["doc_id", "node", "n", "chunk", "counts", "spread"]
         for batch in batches:
             for row, data, bounds in arrays.text_slices(batch.column(1)):
                 hashes, of_text = shingle_sets(data, bounds)
                 counters += np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
                 n = len(bounds) - 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(set_names(hashes, of_text)), pa.array(np.diff(of_text)),
-                                                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                                                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                                                  pa.array([v.tobytes() for v in spread(hashes, of_text)], pa.binary())], names=names)
         if counters.any():
             parts = [c.tobytes() for c in counters.reshape(CHUNKS, -1)]
             none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(parts, pa.binary()),
+                                              pa.nulls(CHUNKS, pa.binary())], names=names)
 
-    both = in_tables(docs.mapInArrow(work, "doc_id long, node long, n long, chunk int, counts binary"))
+    both = in_tables(docs.mapInArrow(work, "doc_id long, node long, n long, chunk int, counts binary, spread binary"))
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(COUNTERS // CHUNKS, np.int64)
@@ -95,7 +113,7 @@ def named_sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     counters = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.int64)
     for r in summed.collect():  # CHUNKS rows, 8 MB in all
         counters[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    return both.where("chunk is null").select("doc_id", "node", "n"), counters.ravel()
+    return both.where("chunk is null").select("doc_id", "node", "n", "spread"), counters.ravel()
 
 
 def fronts(docs: DataFrame, counters: np.ndarray) -> DataFrame:
@@ -155,6 +173,20 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def possible(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The pairs ``(q, c)`` that the bound does not exclude. ``shapes`` is ``(node, n, spread)``, one row per node."""
+    side = lambda k: shapes.select(F.col("node").alias(f"{k}_node"), F.col("n").alias(f"{k}_n"), F.col("spread").alias(f"{k}_spread"))
+    q, c = side("q"), side("c")
+    both = pairs.join(q, pairs["q"] == q["q_node"]).join(c, F.col("c") == c["c_node"]).select("q", "c", "q_n", "c_n", "q_spread", "c_spread")
+
+    def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, PARTS) for k in ("q_spread", "c_spread"))
+        ok = pa.array(may_be_similar(a, b, batch.column("q_n").to_numpy(), batch.column("c_n").to_numpy()))
+        yield batch.select(["q", "c"]).filter(ok)
+
+    return both.mapInArrow(by_slices(check), "q long, c long")
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(q, c)`` that are similar. Candidates of one query are dealt to blocks of a bounded size."""
     sizes = pairs.groupBy(F.col("q").alias("w")).agg(F.count("*").alias("m"))
@@ -207,8 +239,8 @@ def similar_classes(docs: DataFrame, leader_rounds: int = LEADER_ROUNDS) -> Data
     lists = in_tables(front.join(shared, front["token"] == shared["t"], "left_semi").groupBy("token", "node", "n").agg(F.lit(1)).select("token", "node", "n"))
     nodes = in_tables(lists.select("node").distinct())
 
-    holders = named.groupBy(F.col("node").alias("x")).agg(F.min("doc_id").alias("holder"))
-    holders = holders.join(nodes, holders["x"] == nodes["node"], "left_semi").select("holder").distinct()
+    by_node = named.groupBy("node").agg(F.min("doc_id").alias("holder"), F.first("n").alias("n"), F.first("spread").alias("spread"))
+    shapes = in_tables(by_node.join(nodes.select(F.col("node").alias("x")), F.col("node") == F.col("x"), "left_semi"))
 
     def items(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for _, data, bounds in arrays.text_slices(batch.column(1)):
@@ -218,8 +250,11 @@ def similar_classes(docs: DataFrame, leader_rounds: int = LEADER_ROUNDS) -> Data
                                               pa.array([raw[8 * a:8 * b] for a, b in zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)], pa.binary())],
                                              names=["node", "items"])
 
-    held = docs.join(holders, docs["doc_id"] == holders["holder"], "left_semi").mapInArrow(by_slices(items), "node long, items binary")
-    sets = in_tables(held.dropDuplicates(["node"]))
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """``(node, items)`` of the nodes of the pairs, from one text of each."""
+        wanted = pairs.select(F.explode(F.array("q", "c")).alias("w")).distinct()
+        holders = shapes.join(wanted, shapes["node"] == wanted["w"], "left_semi").select("holder").distinct()
+        return docs.join(holders, docs["doc_id"] == holders["holder"], "left_semi").mapInArrow(by_slices(items), "node long, items binary")
 
     labels = nodes.select("node", F.col("node").alias("label"))
     tested, links = [], []
@@ -244,7 +279,8 @@ def similar_classes(docs: DataFrame, leader_rounds: int = LEADER_ROUNDS) -> Data
                                (F.least("q", "c") == F.col("q1")) & (F.greatest("q", "c") == F.col("c1")), "left_anti")
         pairs = in_tables(pairs)
         tested.append(pairs)
-        links.append(in_tables(similar(pairs, sets)))
+        near = in_tables(possible(pairs, shapes))
+        links.append(in_tables(similar(near, in_tables(sets_of(near)))))
         every = links[0]
         for more in links[1:]:
             every = every.union(more)

@@ -87,6 +87,27 @@ def test_divide_skip_counts_like_sets(seed):
     assert jaccard.divide_skip(query, sets).tolist() == expected
 
 
+def test_bound_excludes_no_similar_pair():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**63, n)).astype(np.uint64) for n in (0, 1, 5, 40, 400, 400)]
+    for base in sets[:]:
+        for share in (0.0, 0.05, 0.1, 0.2, 0.5):
+            keep = base[rng.random(len(base)) >= share]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, len(base) - len(keep)).astype(np.uint64)])))
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    shape = jaccard.spread(np.concatenate(sets), bounds)
+    n = np.diff(bounds)
+    ok = np.array([jaccard.may_be_similar(shape[[i] * len(sets)], shape, np.full(len(sets), n[i]), n) for i in range(len(sets))])
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            shared = len(set(x) & set(y))
+            if 100 * shared >= 80 * (len(x) + len(y) - shared):
+                assert ok[i, j]
+    assert not ok[4, 5]
+    full = np.full((1, jaccard.PARTS), 65535, np.uint16)
+    assert jaccard.may_be_similar(full, shape[:1], np.array([10**8]), np.array([10**8])).all()
+
+
 def test_chains_are_one_class(spark):
     words = [f"w{i}" for i in range(60)]
     rows = []
