@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from callweave.llm import arrays
 from callweave.llm.tables import by_slices, documents, in_tables
 
-PASSAGE = 256  # words; twice the longest item of a shard where that is more
+PASSAGE = 128  # words; twice the longest item of a shard where that is more
 SCORE = 0.5  # of an item's score against itself
 OVERLAP = 0.5  # of the word triples of question and of answer
 K1, B = 1.2, 0.75
-BLOCK = 16  # items
-SHARD = 1024  # items
-ITEMS_AT_ONCE = 8192
+BLOCK = 2  # items; the smaller, the tighter the bounds and the wider the table of block maxima
+SHARD = 512  # items
+ITEMS_AT_ONCE = 4096
 GRAM = 3
 
 FOUND = "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double"

@@ -57,7 +57,7 @@ def test_passages_hold_every_stretch_of_half_their_size():
             assert any(s <= a and a + 5 <= e for s, e in own)
 
 
-@pytest.mark.parametrize("at_once,shard_items", [(8192, 1024), (9, 4)])
+@pytest.mark.parametrize("at_once,shard_items", [(4096, 512), (9, 4)])
 def test_finds_planted_items(spark, at_once, shard_items):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7)))

@@ -40,7 +40,7 @@ def leaks(text, bench):
         for t in np.unique(w).tolist():
             df[t] = df.get(t, 0) + 1
     mean = sum(len(w) for _, _, w in items) / len(items)
-    size = max(256, 2 * max(len(w) for _, _, w in items))
+    size = max(decontaminate.PASSAGE, 2 * max(len(w) for _, _, w in items))
     for a in range(0, max(1, len(words) - size // 2), size // 2):
         here = words[a:a + size]
         inside = set(here.tolist())
