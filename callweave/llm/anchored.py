@@ -8,8 +8,10 @@ only be repeated if its anchor is, and all places of one anchor are compared by
    anything is compared, so copies cost no more than their rows;
 3. anchors with one context need no comparison: its windows are repeated in full. The others' contexts are fetched from the
    texts, dealt out by anchor in groups of about a megabyte, and compared by the index of the operator;
-4. an anchor with very many contexts (a passage that many texts share) is not sent to one group: its windows are counted by
-   hash, with sums before the shuffle, and joined back;
+4. an anchor with very many contexts (a passage that many texts share) is not sent to one group. Its windows are split in
+   two by where the anchor stands in them; each half has a longer gram in common, which becomes the new anchor. Contexts cut
+   down to a half are often equal and become one row again, or alone and go; what is left is compared, or split further. A
+   window as its own anchor has one context only, so this ends after seven splits at most;
 5. what is found for a context holds for all its places.
 
 Every step is a join or an aggregation on hashes of 64 bits; nothing is proportional to pairs of places.
@@ -28,13 +30,13 @@ from pyspark.sql import functions as F
 from callweave.llm import arrays
 from callweave.llm.tables import by_slices, documents, in_tables
 
-MANY = 2048  # contexts of one anchor, beyond which its windows are counted one by one
+MANY = 2048  # contexts of one anchor, beyond which it is split
 GROUP_BYTES = 1 << 20
 
 OCCURRENCES = "anchor long, ctx long, doc_id long, pos int, lo int, hi int"
-CONTEXTS = "anchor long, ctx long, n long, least long, at int, lo int, kinds long, text binary"
-MARKS = "anchor long, ctx long, first int, last int, least long"
-_MARKS = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("least", pa.int64())])
+CONTEXTS = "anchor long, ctx long, n long, least long, at int, lo int, low int, high int, text binary"
+RANGES = "array<struct<first:int,last:int,least:long>>"
+MARKS = f"anchor long, ctx long, ranges {RANGES}"
 
 
 @dataclass(frozen=True)
@@ -117,8 +119,8 @@ def _fetch(kind: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             text = [raw[a:z] for a, z in zip(begin.tolist(), end.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*(wanted.field(k) for k in ("anchor", "ctx", "n", "least")), pa.array((pos - lo).astype(np.int32)), wanted.field("lo"),
-                 wanted.field("kinds"), pa.array(text, pa.binary())],
-                names=["anchor", "ctx", "n", "least", "at", "lo", "kinds", "text"])
+                 pa.array(np.zeros(len(text), np.int32)), pa.array(np.full(len(text), kind.window - kind.gram + 1, np.int32)), pa.array(text, pa.binary())],
+                names=["anchor", "ctx", "n", "least", "at", "lo", "low", "high", "text"])
     return by_slices(cut)
 
 
@@ -164,7 +166,7 @@ Index = Callable[[Windows, Group], tuple[np.ndarray, np.ndarray]]
 
 
 def marks_of(batch: pa.Table, g: Group, repeated: np.ndarray, least: np.ndarray) -> pa.Table:
-    """Runs of repeated windows with equal least ids, by their numbers in the context."""
+    """For each context the runs of repeated windows with equal least ids, by their numbers in the context."""
     repeated = repeated & g.starts
     wide = np.zeros((len(repeated), repeated.shape[1] + 1), bool)
     wide[:, :-1] = repeated
@@ -175,45 +177,70 @@ def marks_of(batch: pa.Table, g: Group, repeated: np.ndarray, least: np.ndarray)
     ends[:, 1:] = wide[:, :-1] & ~same[:, 1:]
     last = np.nonzero(ends)[1]
     shift = g.before - g.at[row]
-    return pa.Table.from_arrays([pa.array(batch.column("anchor").to_numpy()[row]), pa.array(batch.column("ctx").to_numpy()[row]),
-                                 pa.array((first - shift).astype(np.int32)), pa.array((last - 1 - shift).astype(np.int32)), pa.array(least[row, first])],
-                                schema=_MARKS)
-
-
-def _counted(contexts: DataFrame, kind: Windows, of_smaller: bool) -> DataFrame:
-    """Marks of contexts whose anchors have too many for one group: every window by its hash."""
-    def windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            g = lined_up(kind, part)
-            row, column = np.nonzero(g.starts)
-            sums = arrays.prefix_hash(g.values.ravel())
-            flat = row * g.values.shape[1] + column
-            h = arrays.span_hash(sums, flat, flat + kind.window) ^ arrays.mix(column.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part.column("anchor").to_numpy()[row]), pa.array(part.column("ctx").to_numpy()[row]), pa.array(g.n[row]), pa.array(g.least[row]),
-                 pa.array((column - g.before + g.at[row]).astype(np.int32)), pa.array(h.view(np.int64))],
-                names=["anchor", "ctx", "n", "least", "s", "h"])
-
-    each = in_tables(contexts.mapInArrow(by_slices(windows), "anchor long, ctx long, n long, least long, s int, h long"))
-    total = each.groupBy(F.col("anchor").alias("a"), F.col("h").alias("w")).agg(F.sum("n").alias("m"), F.min("least").alias("l")).where("m > 1")
-    met = each.join(total, (each["anchor"] == total["a"]) & (each["h"] == total["w"]))
-    lists = met.groupBy("anchor", "ctx").agg(F.array_sort(F.collect_list(F.struct("s", F.col("l").alias("l")))).alias("v"))
-
-    def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        v = batch.column(2)
-        offsets = np.asarray(v.offsets)
-        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        inner = v.values.slice(offsets[0], offsets[-1] - offsets[0])
-        s, least = inner.field("s").to_numpy(), inner.field("l").to_numpy()
-        new = np.ones(len(s), bool)
-        new[1:] = (row[1:] != row[:-1]) | (s[1:] != s[:-1] + 1) | (least[1:] != least[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(s)) - 1
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first])), batch.column(1).take(pa.array(row[first])),
-                                          pa.array(s[first]), pa.array(s[last]), pa.array(least[first])], schema=_MARKS)
-
-    return lists.mapInArrow(by_slices(runs), MARKS)
+    runs = pa.StructArray.from_arrays([pa.array((first - shift).astype(np.int32)), pa.array((last - 1 - shift).astype(np.int32)), pa.array(least[row, first])],
+                                      names=["first", "last", "least"])
+    some, counts = np.unique(row, return_counts=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), runs)
+    take = pa.array(some)
+    return pa.table({"anchor": batch.column("anchor").take(take), "ctx": batch.column("ctx").take(take), "ranges": lists})
+
+
+def _halves(kind: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Contexts cut down to half of their windows. The anchor stands ``low`` to ``high - 1`` items after a window's start."""
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        text = batch.column("text")
+        at, lo, low, high = (batch.column(k).to_numpy().astype(np.int64) for k in ("at", "lo", "low", "high"))
+        middle = (low + high) // 2
+        for row, data, bounds in arrays.text_slices(text):
+            u = units(kind, data, bounds)
+            n = len(bounds) - 1
+            first, size = u.bounds[:-1], np.diff(u.bounds)
+            anchor = first + at[row:row + n]
+            sums, raw = arrays.prefix_hash(u.values), data.tobytes()
+            for a, b in ((low, middle), (middle, high)):
+                a, b = a[row:row + n], b[row:row + n]
+                begin, last = np.maximum(anchor - b + 1, first), np.minimum(anchor - a, first + size - kind.window)  # windows' starts
+                own = np.flatnonzero((last >= begin) & (b > a))
+                if not len(own):
+                    continue
+                start, end, p, a, b = begin[own], last[own] + kind.window, anchor[own], a[own], b[own]
+                gram = arrays.span_hash(sums, p - a, p - b + 1 + kind.window) ^ arrays.mix((a * 4096 + b).astype(np.uint64))
+                ctx = arrays.span_hash(sums, start, end) ^ arrays.mix((p - start).astype(np.uint64))
+                pieces = [raw[x:y] for x, y in zip(u.starts[start].tolist(), u.ends[end - 1].tolist(), strict=True)]
+                take = pa.array(row + own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64)), batch.column("n").take(take), batch.column("least").take(take),
+                     pa.array((p - start).astype(np.int32)), pa.array((lo[row + own] + start - first[own]).astype(np.int32)),
+                     pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(pieces, pa.binary()),
+                     batch.column("anchor").take(take), batch.column("ctx").take(take), pa.array((start - first[own]).astype(np.int32))],
+                    names=["anchor", "ctx", "n", "least", "at", "lo", "low", "high", "text", "of_anchor", "of_ctx", "shift"])
+    return by_slices(cut)
+
+
+def _marks(contexts: DataFrame, kind: Windows, index: Index, many: int, group_bytes: int) -> DataFrame:
+    """Marks of contexts, one row for each of ``(anchor, ctx)``."""
+    kinds = contexts.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("kinds"))
+    contexts = in_tables(contexts.join(kinds, contexts["anchor"] == kinds["a"]).drop("a").where("kinds > 1 or n > 1"))
+    compared = contexts.where(F.col("kinds") <= many)
+    volume = compared.agg(F.sum(F.length("text"))).first()[0] or 0
+
+    def compare(batch: pa.Table) -> pa.Table:
+        g = lined_up(kind, batch)
+        repeated, least = index(kind, g)
+        return marks_of(batch, g, repeated | (g.n > 1)[:, None], least)
+
+    out = in_tables(compared.groupBy(F.pmod("anchor", F.lit(1 + volume // group_bytes)).alias("g")).applyInArrow(compare, MARKS))
+    split = contexts.where(F.col("kinds") > many).drop("kinds")
+    if split.isEmpty():
+        return out
+    halves = in_tables(split.mapInArrow(_halves(kind), f"{CONTEXTS}, of_anchor long, of_ctx long, shift int"))
+    distinct = halves.groupBy("anchor", "ctx").agg(F.sum("n").alias("n"), F.min("least").alias("least"), *[F.first(c).alias(c) for c in ("at", "lo", "low", "high", "text")])
+    found = _marks(distinct, kind, index, many, group_bytes).select(F.col("anchor").alias("a"), F.col("ctx").alias("c"), "ranges")
+    back = halves.select("anchor", "ctx", "of_anchor", "of_ctx", "shift").join(found, (F.col("anchor") == F.col("a")) & (F.col("ctx") == F.col("c")))
+    moved = F.transform("ranges", lambda r: F.struct(
+        (r["first"] + F.col("shift")).alias("first"), (r["last"] + F.col("shift")).alias("last"), r["least"].alias("least")))
+    both = back.select(F.col("of_anchor").alias("anchor"), F.col("of_ctx").alias("ctx"), moved.alias("ranges"))
+    return out.unionByName(both.groupBy("anchor", "ctx").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
 
 
 def repeated_spans(docs: DataFrame, kind: Windows, index: Index, of_smaller: bool, many: int = MANY, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -228,30 +255,19 @@ def repeated_spans(docs: DataFrame, kind: Windows, index: Index, of_smaller: boo
         F.count("*").alias("n"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("doc_id", "pos", "lo", "hi")]))
     kinds = contexts.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("kinds"))
     contexts = in_tables(contexts.join(kinds, contexts["anchor"] == kinds["a"]).drop("a"))
-
-    alone = contexts.where("kinds = 1").select(
-        "anchor", "ctx", F.lit(0).alias("first"), (F.col("hi") - F.col("lo") - kind.window).cast("int").alias("last"), "least")
+    alone = contexts.where("kinds = 1").select("anchor", "ctx", F.array(F.struct(
+        F.lit(0).alias("first"), (F.col("hi") - F.col("lo") - kind.window).cast("int").alias("last"), "least")).cast(RANGES).alias("ranges"))
     wanted = contexts.where("kinds > 1").groupBy(F.col("doc_id").alias("d")).agg(
-        F.collect_list(F.struct("anchor", "ctx", "n", "least", "pos", "lo", "hi", "kinds")).alias("wanted"))
+        F.collect_list(F.struct("anchor", "ctx", "n", "least", "pos", "lo", "hi")).alias("wanted"))
     texts = in_tables(docs.join(wanted, docs["doc_id"] == wanted["d"]).select("text", "wanted").mapInArrow(_fetch(kind), CONTEXTS))
-    compared = texts.where(F.col("kinds") <= many)
-    volume = compared.agg(F.sum(F.length("text"))).first()[0] or 0
-
-    def compare(batch: pa.Table) -> pa.Table:
-        g = lined_up(kind, batch)
-        repeated, least = index(kind, g)
-        return marks_of(batch, g, repeated | (g.n > 1)[:, None], least)
-
-    grouped = compared.groupBy(F.pmod("anchor", F.lit(1 + volume // group_bytes)).alias("g"))
-    marks = in_tables(alone.unionByName(grouped.applyInArrow(compare, MARKS)).unionByName(
-        _counted(texts.where(F.col("kinds") > many), kind, of_smaller)))
+    marks = in_tables(alone.unionByName(_marks(texts, kind, index, many, group_bytes)))
 
-    m = marks.select(F.col("anchor").alias("a"), F.col("ctx").alias("c"), "first", "last", "least")
+    m = marks.select(F.col("anchor").alias("a"), F.col("ctx").alias("c"), "ranges")
     hits = places.join(m, (places["anchor"] == m["a"]) & (places["ctx"] == m["c"]))
     if of_smaller:
-        hits = hits.where("least < doc_id")
-    spans = hits.select("doc_id", F.struct((F.col("lo") + F.col("first")).alias("start"), (F.col("lo") + F.col("last") + kind.window).alias("end")).alias("s"))
-    return in_tables(spans.groupBy("doc_id").agg(F.collect_list("s").alias("spans")))
+        hits = hits.withColumn("ranges", F.filter("ranges", lambda r: r["least"] < F.col("doc_id")))
+    own = F.transform("ranges", lambda r: F.struct((F.col("lo") + r["first"]).alias("start"), (F.col("lo") + r["last"] + kind.window).alias("end")))
+    return in_tables(hits.where(F.size("ranges") > 0).select("doc_id", own.alias("s")).groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("spans")))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def corpus(seed):
     return [(i * 3 + 1, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed,many", [(1, 2048), (2, 2), (3, 0)])
+@pytest.mark.parametrize("seed,many", [(1, 2048), (2, 2), (3, 1)])
 def test_bytes_equal_brute_force(spark, seed, many):
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "clash", 0) for i, t in rows], "doc_id long, text string, anchor string, ctx int").repartition(4)
@@ -75,7 +75,7 @@ def test_bytes_equal_brute_force(spark, seed, many):
     assert sorted(map(tuple, byte_repeats.without_repeats(docs, spans).collect())) == brute_bytes(rows, 20)
 
 
-@pytest.mark.parametrize("seed,many", [(4, 2048), (5, 2), (6, 0)])
+@pytest.mark.parametrize("seed,many", [(4, 2048), (5, 2), (6, 1)])
 def test_words_equal_brute_force(spark, seed, many):
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, spans string").repartition(4)
