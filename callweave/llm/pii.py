@@ -15,7 +15,8 @@ different ones stay different. Without the key nobody can invert it. No Python r
 | e-mail address | - | letters and digits before the @, each run within its alphabet |
 | password, token or key | - | each run of letters and digits within its alphabet |
 
-What looks like a format but is not valid stays as it is.
+What looks like a format but is not valid stays as it is. Where digits stand in a row, separated by single spaces or hyphens,
+each run of 13 to 19 of them made of whole groups is a candidate for a card number: at each place the longest valid one.
 """
 
 from __future__ import annotations
@@ -28,17 +29,20 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 KEY = "set a key of your own"  # the default serves tests; a job passes its own
 
+# A card number begins where no digit stands before and, unless another number does, no hyphen; it ends before no digit.
+CARD_START, CARD_END = r"(?<![0-9])(?<!(?<![0-9])-)", r"(?![0-9])"
 # Patterns by kind, tried in this order at each place.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9]{12,})",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9]{12,})",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])",
+    "card": CARD_START + "[0-9](?:[ -]?[0-9]){12,18}" + CARD_END,
     "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+CARD_LENGTHS = range(19, 12, -1)
+ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())  # finds nothing in a text without values; which digits are a card's, any_value tells
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -114,6 +118,25 @@ def _laid_out(like: Column, digits: Column) -> Column:
         F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))), lambda acc: acc["out"]))
 
 
+def card_numbers(text: Column) -> Column:
+    """The different card numbers of ``text`` as written, longest first: all runs of whole groups of digits with a valid check digit.
+
+    They may overlap: a card's neighbours can be other numbers, so every place and every length is looked at.
+    """
+    found = [F.regexp_extract_all(text, F.lit(f"{CARD_START}(?=([0-9](?:[ -]?[0-9]){{{n - 1}}}){CARD_END})[0-9]"), F.lit(1)) for n in CARD_LENGTHS]
+    return F.filter(F.array_distinct(F.concat(*found)), lambda v: F.pmod(luhn_sum(F.regexp_replace(v, "[ -]", ""), 1), F.lit(10)) == 0)
+
+
+def any_value(text: Column) -> Column:
+    """The pattern of all values of ``text``. Of card numbers it names the valid ones of this text only, so that others take no digits."""
+    def one_of(cards: Column) -> Column:
+        return F.when(F.size(cards) > 0, F.concat(F.lit(f"{CARD_START}(?:"), F.array_join(cards, "|"), F.lit(f"){CARD_END}"))).otherwise(F.lit("(?!)"))
+
+    some = text.rlike("[0-9](?:[ -]?[0-9]){12}")
+    parts = [F.when(some, let(card_numbers(text), one_of)).otherwise(F.lit("(?!)")) if kind == "card" else F.lit(p) for kind, p in PATTERNS.items()]
+    return F.concat(F.lit("(?:"), F.concat_ws(")|(?:", *parts), F.lit(")"))
+
+
 def _card(value: Column, key: str) -> Column:
     def checked(body: Column) -> Column:
         return F.concat(body, F.pmod(F.lit(10) - F.pmod(luhn_sum(body, 0), F.lit(10)), F.lit(10)).cast("string"))
@@ -185,7 +208,7 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    head = F.regexp_extract(value, r"^(AKIA|[a-z_]+\s*[=:]\s*\"?)", 1)
+    head = F.regexp_extract(value, r"^(AKIA|[A-Za-z_]+\s*[=:]\s*\"?)", 1)
     return F.concat(head, _runs_permuted(F.substring(value, F.length(head) + 1, F.length(value)), key, F.lit("secret")))
 
 
@@ -194,7 +217,7 @@ KINDS: dict[str, Callable[[Column, str], Column]] = {
 
 
 def pseudonym(value: Column, key: str = KEY) -> Column:
-    """The pseudonym of one value that :data:`ANY` has found. The first kind whose pattern fits all of it decides."""
+    """The pseudonym of one value that :func:`any_value` has found. The first kind whose pattern fits all of it decides."""
     out = value
     for kind, pattern in reversed(PATTERNS.items()):
         out = F.when(value.rlike(f"^(?:{pattern})$"), KINDS[kind](value, key)).otherwise(out)
@@ -203,10 +226,13 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
 
 def pseudonymised(text: Column, key: str = KEY) -> Column:
     """``text`` with a pseudonym in the place of every valid value. Null stays null."""
-    values = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    parts = F.zip_with(F.split(text, ANY, -1), F.transform(values, lambda v: pseudonym(v, key)),
-                       lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
-    return F.when(text.rlike("[0-9@]|AKIA|password|passwd|token|secret|api_key"), F.array_join(parts, "")).otherwise(text)
+    def replaced(pattern: Column) -> Column:
+        values = F.regexp_extract_all(text, pattern, F.lit(0))
+        parts = F.zip_with(F.split(text, pattern, -1), F.transform(values, lambda v: pseudonym(v, key)),
+                           lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+        return F.array_join(parts, "")
+
+    return F.when(text.rlike("[0-9@]|AKIA|(?i:password|passwd|token|secret|api_key)"), let(any_value(text), replaced)).otherwise(text)
 
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:

@@ -74,6 +74,27 @@ def test_formats_and_links(spark, values):
                 assert new.split("@")[1] == v.split("@")[1]
 
 
+@pytest.mark.parametrize("number", ["4111 1111 1111 1111", "4111111111111111"])
+@pytest.mark.parametrize("before, after", [("", " 12/27"), ("", " 123"), ("2 ", ""), ("1-", "-123"), ("7 ", " 97 x"), ("x-12-", " 9")])
+def test_cards_beside_other_numbers(spark, number, before, after):
+    alone = run(spark, [number])[0]
+    assert alone != number and run(spark, [f"a {before}{number}{after}"]) == [f"a {before}{alone}{after}"]
+
+
+@pytest.mark.parametrize("other", ["97.51.17.173", "31/12/1999", "2024-02-29", "123-45-6789", "212-555-0100", "1 (212) 555-0100", "97.a@x.org", "4012888888881881"])
+def test_values_beside_cards(spark, other):
+    card, value, both = run(spark, ["4111111111111111", other, f"4111111111111111 {other}"])
+    assert value != other and both == f"{card} {value}"
+
+
+def test_secrets_in_any_case(spark):
+    texts = ['TOKEN = "9233A8B1C2D3E4"', "Password: b7db7aa4a5fcc78305", "API_KEY=ABCDEF123456"]
+    for text, out in zip(texts, run(spark, texts)):
+        head = re.match('[A-Za-z_]+[ =:]+"?', text)[0]
+        assert out != text and out.startswith(head) and shape(out) == shape(text)
+        assert out[len(head):] == run(spark, [head.lower() + text[len(head):]])[0][len(head):]
+
+
 def test_small_domains_are_permuted(spark):
     n = 898
     df = spark.range(n).select(pii.permuted(F.col("id"), F.lit(2).cast("long"), F.lit(449).cast("long"), "k", F.lit("t")).alias("p"))
