@@ -20,7 +20,8 @@ from callweave.llm.tables import by_slices, documents
 
 BUCKETS = 4096
 SAMPLE_PER_LANGUAGE = 400  # labelled rows that a model is fitted on, about so many per language and never twice as many
-MOST_LANGUAGES = 256  # the commonest; rarer labels are not learned
+SAMPLE = 32768  # rows about, over all languages: the more languages, the fewer rows of each, but one at least
+BLOCK = 4096  # rows that a model is fitted on at once
 ROUNDS = 100
 LEAST_GAP = 0.05  # of the best score before the next; texts below it are ambiguous
 UNKNOWN = "und"
@@ -62,11 +63,14 @@ def codewords(n: int) -> np.ndarray:
         code = np.vstack([np.zeros(len(bits), np.int64), *[(bits >> i) & 1 for i in range(n - 1)]])
         return (2 * code - 1).astype(np.float32)
     rng, best, apart = np.random.default_rng(0), None, -1
-    for _ in range(50):
+    for _ in range(max(2, min(50, 10**8 // n**2))):
         code = rng.choice([-1.0, 1.0], (n, 16 + 4 * int(np.ceil(np.log2(n)))))
-        products = code @ code.T
-        np.fill_diagonal(products, -np.inf)
-        distance = (code.shape[1] - products.max()) / 2
+        nearest = -np.inf
+        for at in range(0, n, 1024):
+            products = code[at:at + 1024] @ code.T
+            products[np.arange(len(products)), np.arange(at, at + len(products))] = -np.inf
+            nearest = max(nearest, products.max())
+        distance = (code.shape[1] - nearest) / 2
         if distance > apart and (np.abs(code.sum(0)) < n).all():
             best, apart = code, distance
     return best.astype(np.float32)
@@ -80,9 +84,12 @@ class Model:
     bias: np.ndarray
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """A row per text, a column per language, adding up to 1: the nearer its codeword, the more."""
-        margins = x @ self.weights + self.bias
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]).sum(2)
+        """A row per text, a column per language, adding up to 1: the nearer its codeword, the more.
+
+        The loss of a 1 is that of a -1 less the margin, so the losses of all codewords are one product of matrices.
+        """
+        margins = (x @ self.weights + self.bias).astype(np.float64)
+        loss = np.logaddexp(0, margins).sum(1, keepdims=True) - margins @ ((self.code + 1) / 2).astype(np.float64).T
         share = np.exp(loss.min(1, keepdims=True) - loss)
         return share / share.sum(1, keepdims=True)
 
@@ -93,15 +100,19 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = ROUNDS, rate: float = 8.
     code = codewords(len(languages))
     if len(languages) < 2:
         return Model(languages, code, np.zeros((x.shape[1] if len(x) else BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32))
-    index = np.array([languages.index(v) for v in labels])
+    number = {v: i for i, v in enumerate(languages)}
+    index = np.array([number[v] for v in labels])
     weight = (1 / np.bincount(index)[index] / len(languages)).astype(np.float32)[:, None]
     target = code[index]
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     step_w, step_b = np.zeros_like(w), np.zeros_like(b)
     for _ in range(rounds):
-        pull = weight * -target / (1 + np.exp(np.clip(target * (x @ w + b), -30, 30)))
-        step_w = 0.9 * step_w - rate * (x.T @ pull + decay * w)
-        step_b = 0.9 * step_b - rate * pull.sum(0)
+        slope_w, slope_b = decay * w, np.zeros_like(b)
+        for at in range(0, len(x), BLOCK):
+            part, goal = x[at:at + BLOCK].astype(np.float32), target[at:at + BLOCK]
+            pull = weight[at:at + BLOCK] * -goal / (1 + np.exp(np.clip(goal * (part @ w + b), -30, 30)))
+            slope_w, slope_b = part.T @ pull + slope_w, slope_b + pull.sum(0)
+        step_w, step_b = 0.9 * step_w - rate * slope_w, 0.9 * step_b - rate * slope_b
         w, b = w + step_w, b + step_b
     return Model(languages, code, w, b)
 
@@ -111,16 +122,20 @@ def _with_letters(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """A model from the labelled rows of ``(doc_id, text, lang)``. The caller leaves out rows that must not be learned from.
+    """A model of all labels from labelled rows of ``(doc_id, text, lang)``. The caller leaves out rows that must not be learned from.
 
-    The sample follows a hash of the id, so it is the same in every run, and holds whole texts.
+    The sample follows a hash of the id, so it is the same in every run, and holds whole texts. The row of each label with the
+    smallest hash is always drawn.
     """
     known = _with_letters(docs, "lang").where("letters and lang is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    counts = known.groupBy("lang").agg(F.count("*").alias("count"), F.min(place).alias("least")).collect()
     if not counts:
         return fit(np.zeros((0, BUCKETS), np.float32), [])
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))) for r in counts], F.lit(0.0))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * float(1 << 20))
+    per_language = max(1, min(per_language, SAMPLE // len(counts)))
+    limits = [(r["lang"], max(min(1.0, per_language / r["count"]) * (1 << 20), r["least"] + 1.0)) for r in counts]
+    below = known.sparkSession.createDataFrame(limits, "own string, below double")
+    drawn = known.join(F.broadcast(below), (F.col("lang") == F.col("own")) & (place < F.col("below"))).select("doc_id", "text", "lang")
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for row, data, bounds in arrays.text_slices(batch.column(1), rows=256):
@@ -135,7 +150,7 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
         if taken[r["lang"]] < 2 * per_language:
             chosen.append(r)
-    return fit(np.stack([np.frombuffer(r["x"], np.float16).astype(np.float32) for r in chosen]), [r["lang"] for r in chosen])
+    return fit(np.stack([np.frombuffer(r["x"], np.float16) for r in chosen]), [r["lang"] for r in chosen])
 
 
 def predict(docs: DataFrame, model: Model, least_gap: float = LEAST_GAP) -> DataFrame:

@@ -54,3 +54,21 @@ def test_equal_scores_are_ambiguous(spark):
     code = language.codewords(2)
     even = language.Model(["en", "fr"], code, np.zeros((language.BUCKETS, 1), np.float32), np.zeros(1, np.float32))
     assert [(r["lang_pred"], r["ambiguous"]) for r in language.predict(docs, even).collect()] == [("en", True)] * 2
+
+
+def test_learns_every_label(spark):
+    """300 languages of words of their own, the rarer ones with three rows each."""
+    rng = np.random.default_rng(3)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(8)] for _ in range(300)]
+    rows = [(1000 * i + j, " ".join(rng.permutation(words[i])), f"l{i:03}") for i in range(300) for j in range(6 if i < 256 else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert model.languages == [f"l{i:03}" for i in range(300)]
+    found = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
+    assert np.mean([found[i]["lang_pred"] == lang and not found[i]["ambiguous"] for i, _, lang in rows if lang >= "l256"]) > 0.95
+
+
+def test_draws_a_row_of_every_label(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 40)
+    docs = spark.createDataFrame([(i, f"text {i % 40}", f"l{i % 40:02}") for i in range(2000)], "doc_id long, text string, lang string")
+    assert len(language.learn(docs).languages) == 40
