@@ -23,7 +23,6 @@ from callweave.llm import arrays, tokens
 from callweave.llm.tables import documents, in_tables
 
 SEQUENCE = 1024
-PAIRS_TRIED = 200_000  # of groups; the search ends after so many. More effort may save sequences, none loses a piece
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -139,40 +138,119 @@ def _better(a: Group, b: Group, size: int) -> tuple[Group, Group] | None:
     return new_a, new_b
 
 
-def exchange(groups: Counter[Group], size: int, tries: int = PAIRS_TRIED) -> Counter[Group]:
-    """Exchange pieces between underfull sequences while the sum of squared fills grows, until sequences are empty.
+def _sums(group: Group) -> tuple[set[int], set[int]]:
+    """The lengths of single pieces and of pairs of pieces."""
+    number = Counter(group)
+    lengths = sorted(number)
+    return set(lengths), {x + y for i, x in enumerate(lengths) for y in lengths[i:] if x < y or number[x] > 1}
+
+
+class _Partners:
+    """Underfull groups by the room they have, with sets (as bits) of what they give and what would fill them.
+
+    A room's set is that of all its groups, so rooms without a partner are passed over at once. A group that goes leaves the
+    room's set as it is until the set misleads.
+    """
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.gives: dict[Group, tuple[int, int]] = {}
+        self.wants: dict[Group, tuple[int, int]] = {}
+        self.rooms: dict[int, list[Group]] = {}
+        self.any: dict[int, tuple[int, int]] = {}
+
+    def add(self, group: Group) -> None:
+        room = self.size - sum(group)
+        one, two = _sums(group)
+        run = (1 << room) - 1
+        single = pair = 0
+        for y in one:
+            pair |= run << (y + 1)
+        for y in two:
+            single |= run << (y + 1)
+        single |= pair | run << 1
+        self.gives[group] = sum(1 << x for x in one), sum(1 << x for x in two)
+        self.wants[group] = single, pair
+        insort(self.rooms.setdefault(room, []), group)
+        had = self.any.get(room, (0, 0))
+        self.any[room] = had[0] | single, had[1] | pair
+
+    def remove(self, group: Group) -> None:
+        own = self.rooms[self.size - sum(group)]
+        del own[bisect_left(own, group)], self.gives[group], self.wants[group]
+
+    def fits(self, donor: Group, other: Group) -> bool:
+        """Whether ``_better`` finds an exchange."""
+        (one, two), (single, pair) = self.gives[donor], self.wants[other]
+        return bool(one & single or two & pair)
+
+    def find(self, donor: Group, number: int) -> Group | None:
+        """The fullest group that ``donor``, of which there are ``number``, can fill."""
+        one, two = self.gives[donor]
+        last = self.size - sum(donor)
+        for room in sorted(r for r, (single, pair) in self.any.items() if r <= last and (one & single or two & pair)):
+            own = self.rooms[room]
+            for other in reversed(own):
+                if room == last and (other < donor or other == donor and number < 2):
+                    break
+                if self.fits(donor, other):
+                    return other
+            else:
+                single = pair = 0
+                for other in own:
+                    single, pair = single | self.wants[other][0], pair | self.wants[other][1]
+                self.any[room] = single, pair
+        return None
+
+
+def exchange(groups: Counter[Group], size: int) -> Counter[Group]:
+    """Exchange pieces between underfull sequences while the sum of squared fills grows, until no pair has an exchange.
 
     The emptiest group gives to the fuller ones, fullest first. Every step makes the fuller sequence fuller by as much as the
-    other one loses, so the sum of squares rises and the search ends.
+    other one loses, so the sum of squares rises and the search ends. A group without a partner rests until one comes up.
     """
     groups = Counter(groups)
-    under = sorted((g for g in groups if sum(g) < size), key=lambda g: (sum(g), g))
-    while len(under) > 1 or under and groups[under[0]] > 1:
-        donor = under[0]
-        step = None
-        for other in reversed(under):
-            if other == donor and groups[donor] < 2:
-                continue
-            tries -= 1
-            if found := _better(donor, other, size):
-                step = other, found
-                break
-            if tries <= 0:
-                return groups
-        if step is None:
+    partners = _Partners(size)
+    for g in groups:
+        if sum(g) < size:
+            partners.add(g)
+    under = sorted((sum(g), g) for g in partners.gives)
+    resting: set[Group] = set()
+    while under:
+        donor = under[0][1]
+        other = partners.find(donor, groups[donor])
+        if other is None:
             under.pop(0)
+            resting.add(donor)
             continue
-        other, (less, more) = step
+        found = _better(donor, other, size)
+        assert found is not None
+        more, less = found[1], found[0]
         times = groups[donor] // 2 if other == donor else min(groups[donor], groups[other])
         for g, n in ((donor, -times), (other, -times), (more, times), *(((less, times),) if less else ())):
-            fresh = g not in groups
             groups[g] += n
+        for g in {donor, other, more, less} - {()}:
+            at = sum(g), g
             if not groups[g]:
                 del groups[g]
-                if g in under:
-                    under.remove(g)
-            elif fresh and sum(g) < size:
-                insort(under, g, key=lambda h: (sum(h), h))
+                if g in partners.gives:
+                    partners.remove(g)
+                    resting.discard(g)
+                    i = bisect_left(under, at)
+                    if i < len(under) and under[i] == at:
+                        del under[i]
+                continue
+            if at[0] == size:
+                continue
+            if g not in partners.gives:
+                partners.add(g)
+                insort(under, at)
+                awake = [r for r in resting if (sum(r), r) < at and partners.fits(r, g)]
+            else:
+                awake = [g] if g in resting and groups[g] > 1 and partners.fits(g, g) else []
+            for r in awake:
+                resting.remove(r)
+                insort(under, (sum(r), r))
     return groups
 
 

@@ -120,6 +120,14 @@ def test_exchange_empties_sequences():
     assert squares(better) > squares(groups) and sum(better.values()) < sum(groups.values())
 
 
+def test_exchange_ends_where_no_pair_has_one():
+    rng = random.Random(1)
+    groups = packing.exchange(packing.best_fit(Counter(rng.randrange(200, 500) for _ in range(2000)), 1024), 1024)
+    under = sorted((g for g in groups if sum(g) < 1024), key=lambda g: (sum(g), g))
+    left = [(a, b) for i, a in enumerate(under) for b in under[i:] if (a != b or groups[a] > 1) and packing._better(a, b, 1024)]
+    assert len(under) > 100 and not left
+
+
 def test_best_fit_uses_each_piece_once():
     rng = random.Random(5)
     for _ in range(30):
