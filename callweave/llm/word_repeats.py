@@ -1,10 +1,9 @@
-"""Removal of word passages that an earlier document has, by fixed blocks as anchors of exact repeats.
+"""Removal of word passages that an earlier document has, by sampled anchors of exact repeats.
 
-Contexts that share a sampled gram are lined up (see ``anchored``). In each of them the blocks of the document's own grid,
-one after the other without overlap, are the reference. Every rolling window of block length is then looked up among them. A
-hit is extended to the windows around it: a window of twice the block length holds a whole block of any grid, so no repeat is
-missed; what hashes alike over its full length is a repeat, and the smallest document that has it is kept with it.
-Neighbouring windows join to maximal repeats.
+Contexts that share a sampled gram are lined up (see ``anchored``). Windows at the same distance from an anchor whose hashes
+over the full length are equal are repeats, and the smallest document that has one is kept with it. The blocks of the
+documents' own grids are a first look only: each context holds its own, so they exclude no window. Neighbouring windows join
+to maximal repeats.
 """
 
 from __future__ import annotations
