@@ -1,11 +1,11 @@
-"""Removal of long byte strings that occur elsewhere, by a run-length index of the repetitive part of a corpus.
+"""Removal of long byte strings that occur elsewhere, by a positional sort of the repetitive part of a corpus.
 
 Contexts that share an anchor are lined up (see ``anchored``). Column by column from the right, the Burrows-Wheeler order of
-all suffixes that start in the column is the order of the column before, stably sorted by the new byte: the transform's
-bytes come in runs, as the contexts are alike. Inside a run a suffix keeps its neighbour, and what the two have in common
-grows by one. Only where a run ends is the common length sampled anew, by comparing bytes with the new neighbour. The larger of
-the common lengths with both neighbours is the matching statistic of the suffix; where it reaches the window, the window
-occurs elsewhere and is marked. The statistics are streamed: no column is kept after the next one.
+all suffixes that start in the column is the order of the column before, stably sorted by the new byte. The order is kept as
+plain arrays with an entry per context, not as runs. Where a suffix keeps its neighbour, what the two have in common grows by
+one; else the common length is found anew by comparing bytes with the new neighbour. The larger of the common lengths with
+both neighbours is the matching statistic of the suffix; where it reaches the window, the window occurs elsewhere and is
+marked. The statistics are streamed: no column is kept after the next one.
 """
 
 from __future__ import annotations
