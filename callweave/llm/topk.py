@@ -22,7 +22,7 @@ from callweave.llm.tables import by_slices, in_tables
 DIMENSIONS = 16  # per step
 CANDIDATES = 8192  # per block
 QUERIES = 1024  # per block
-LARGEST = 1 << 26  # components are clipped to this, so that sums of products of up to 1,024 dimensions stay exact
+SAFE = float(1 << 62)  # sums that could pass this are added up as Python integers
 
 _PACKED = "block long, ids binary, width int, data binary"
 _SCORES = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -31,13 +31,15 @@ _SCORES = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 256) -> DataFrame:
     """``(vec_id, v)`` with floor(factor * x) of each component x, taken as double.
 
-    Rows whose id or vector is null, or that hold a null, NaN or infinite component, are left out.
+    Rows whose id or vector is null, or that hold a null, NaN or infinite component, are left out. A scaled component that
+    64 bits cannot hold is an error.
     """
     v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vectors.where(F.col(f"`{vector_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & ~bad).select(
         F.col(f"`{id_col}`").cast("long").alias("vec_id"),
-        F.transform(v, lambda x: F.floor(F.least(F.greatest(x * F.lit(float(factor)), F.lit(-float(LARGEST))), F.lit(float(LARGEST))))).alias("v"))
+        F.transform(v, lambda x: F.when(F.abs(x * F.lit(float(factor))) < F.lit(float(1 << 63)), F.floor(x * F.lit(float(factor)))).otherwise(
+            F.raise_error(F.lit("a scaled component passes 64 bits")).cast("long"))).alias("v"))
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
@@ -98,6 +100,18 @@ def search_block(query: np.ndarray, columns: np.ndarray, rest: np.ndarray, skip:
     return alive[order], sums[order]
 
 
+def search_exact(query: np.ndarray, columns: np.ndarray, skip: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`search_block`, for sums that 64 bits may not hold on the way. A score that they cannot hold is an error."""
+    alive = np.flatnonzero(~skip)
+    own = [int(x) for x in query]
+    sums = np.zeros(len(alive), object)
+    for x, row in zip(own, columns, strict=True):
+        if x:
+            sums += row[alive].astype(object) * x
+    order = sorted(range(len(alive)), key=lambda i: (-sums[i], ids[alive[i]]))[:k]
+    return alive[order], np.array([sums[i] for i in order], np.int64)
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, candidates_per_block: int = CANDIDATES, queries_per_block: int = QUERIES) -> DataFrame:
     """The ``k`` candidates with the highest inner product for each row of ``(vec_id, v)`` that meets ``queries``.
 
@@ -119,9 +133,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, candidates_per_block:
             ids, data = _unpack(row, width)
             q_ids, q_data = _unpack({"ids": row["q_ids"], "width": row["q_width"], "data": row["q_data"]}, width)
             rest = _rest(data, DIMENSIONS)
+            largest = np.abs(data.astype(np.float64)).max(initial=0) * width
             out: list[list[np.ndarray]] = [[], [], []]
             for j, own in enumerate(q_ids):
-                at, score = search_block(np.ascontiguousarray(q_data[:, j]), data, rest, ids == own, ids, k)
+                query = np.ascontiguousarray(q_data[:, j])
+                if np.abs(query.astype(np.float64)).max(initial=0) * largest < SAFE:
+                    at, score = search_block(query, data, rest, ids == own, ids, k)
+                else:
+                    at, score = search_exact(query, data, ids == own, ids, k)
                 for held, found in zip(out, (np.full(len(at), own), ids[at], score), strict=True):
                     held.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], schema=_SCORES)

@@ -31,6 +31,28 @@ def test_equals_all_products(spark, size):
     assert sorted(map(tuple, got)) == brute(rows, 10)
 
 
+def test_large_components_keep_their_values(spark):
+    """Components beyond 2^18, and products whose sums pass 2^63 on the way only."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-(1 << 20), 1 << 20, 20)]) for i in range(40)]
+    big = float(1 << 23)
+    rows += [(100 + i, [big / 8 * (1 - 2 * (j % 4 // 2)) for j in range(19)] + [float(i)]) for i in range(8)]
+    mixed = [(200, [big] * 4), (201, [big, big, -big, -big]), (202, [big, big, -big, 1 - big])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(topk.integers(df), F.col("vec_id") % 10 == 0, candidates_per_block=32, queries_per_block=8).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 10)
+    got = topk.top_k(topk.integers(spark.createDataFrame(mixed, "vec_id long, embedding array<double>")), F.col("vec_id") == 200).collect()
+    assert sorted(map(tuple, got)) == brute(mixed, 200)
+
+
+def test_sums_beyond_64_bits_on_the_way():
+    big = 1 << 31
+    query = np.array([big] * 4)
+    columns = np.array([[big, big], [big, big], [-big, -big], [-big, 1 - big]])
+    at, scores = topk.search_exact(query, columns, np.zeros(2, bool), np.arange(2), 2)
+    assert list(at) == [1, 0] and list(scores) == [big, 0]
+
+
 def test_ties_go_to_smaller_ids(spark):
     rows = [(i, [0.25, 0.5]) for i in range(40)]
     got = topk.top_k(topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), F.col("vec_id") % 20 == 0).collect()
