@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import byte_repeats, decontaminate, jaccard, language, licenses, packing, pii, token_output, topk, word_repeats
+from callweave.llm import (
+    byte_bpe, byte_repeats, decontaminate, jaccard, language, licenses, manifest, packing, pii, token_output, topk, word_repeats)
 from callweave.llm.tables import table
 from callweave.session import run_dir
 
@@ -88,3 +89,13 @@ def op6_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_benchmark_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
