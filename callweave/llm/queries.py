@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import (
-    byte_bpe, byte_repeats, decontaminate, jaccard, language, licenses, manifest, packing, pii, token_output, topk, word_repeats)
+    alignment, byte_bpe, byte_repeats, decontaminate, jaccard, language, licenses, manifest, packing, pii, token_output, topk, word_repeats)
 from callweave.llm.tables import table
 from callweave.session import run_dir
 
@@ -96,6 +96,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
