@@ -75,18 +75,28 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of :func:`run_dir` that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    _written[:] = [w for w in _written if w[1] not in paths]
+
+
+def written_paths() -> list[str]:
+    """Folders that this thread has begun by :func:`run_dir` and that are not dropped."""
+    return [path for thread, path in _written if thread == threading.get_ident()]
+
+
 @contextmanager
 def dropping_tables(spark: SparkSession) -> Iterator[None]:
     """Delete the paths that this thread begins within the block when it ends. What is to stay must be written elsewhere by then."""
-    before = set(_written)
+    before = set(written_paths())
     try:
         yield
     finally:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for entry in [w for w in _written if w not in before and w[0] == threading.get_ident()]:
-            place = jvm.org.apache.hadoop.fs.Path(entry[1])
-            place.getFileSystem(conf).delete(place, True)
-            _written.remove(entry)
+        drop_paths(spark, [p for p in written_paths() if p not in before])
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
