@@ -42,10 +42,10 @@ def made_texts(n, seed):
     return out + ["", "!!", None]
 
 
-@pytest.mark.parametrize("frequent,token_block,vector_block", [(2048, 20_000, 2048), (3, 4, 7), (10, 1000, 16)])
-def test_text_join_is_exact(spark, monkeypatch, frequent, token_block, vector_block):
+@pytest.mark.parametrize("frequent,products,vector_block", [(2048, 1 << 21, 2048), (3, 4, 7), (10, 1000, 16)])
+def test_text_join_is_exact(spark, monkeypatch, frequent, products, vector_block):
     monkeypatch.setattr(sim, "FREQUENT", frequent)
-    monkeypatch.setattr(sim, "TOKEN_BLOCK", token_block)
+    monkeypatch.setattr(sim, "PRODUCTS", products)
     monkeypatch.setattr(sim, "VECTOR_BLOCK", vector_block)
     left, right = made_texts(60, 1), made_texts(80, 2)
     expected = {p: s for p, s in cosines([t for t in left if t is not None], [t for t in right if t is not None]).items() if s > 0.3}
