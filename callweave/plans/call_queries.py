@@ -493,6 +493,30 @@ def g7_defect_patterns(s, d):
     return rc.defect_patterns(named)
 
 
+cte("t_defects", "SELECT case_number, customer_id, product_id, status, priority, issue_description FROM t_cases WHERE case_type = 'DEFECT' AND issue_description IS NOT NULL")
+cte("t_patterns", """
+    SELECT node AS case_number, min(other) AS pattern FROM (
+        WITH RECURSIVE links AS (
+            SELECT x.case_number AS a, y.case_number AS b FROM t_issue_scores s JOIN t_defects x ON x.issue_description = s.left_text
+            JOIN t_defects y ON y.issue_description = s.right_text WHERE s.score > 0.6),
+        reach AS (SELECT case_number AS node, case_number AS other FROM t_defects
+                  UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other)
+        SELECT node, other FROM reach) GROUP BY node""")
+
+
+@query("g7_similar_patterns", """
+    SELECT pattern, count(DISTINCT product_id) AS products, count(DISTINCT customer_id) AS customers,
+           count(*) FILTER (WHERE status = 'OPEN') AS open_cases, count(*) FILTER (WHERE status = 'CLOSED') AS closed_cases,
+           arg_max(priority, CASE priority WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS top_priority,
+           count(DISTINCT customer_id) >= 2 AS flagged
+    FROM t_patterns JOIN t_defects USING (case_number) GROUP BY pattern""")
+def g7_similar_patterns(s, d):
+    """Defects that resemble each other across products and customers."""
+    defects = ad.cases(s, d).filter("case_type = 'DEFECT'")
+    pairs = text_similarity_join(defects, ad.cases(s, d), "issue_description", "issue_description", 0.6)
+    return rc.defect_patterns(defects, 2, pairs)
+
+
 def _count_words(batch: pd.DataFrame) -> pd.DataFrame:
     if (batch["role"] == "system").any():
         raise ValueError("no system turns")

@@ -76,6 +76,12 @@ def s1_order_items(s, d):
     return plain(ad.order_items(s, d))
 
 
+@query("s1_cases", """SELECT case_id, case_number, customer_id, customer_name, product_id, product_name, case_type, status, priority, issue_description,
+       resolution, CAST(opened_date AS VARCHAR) AS opened_date FROM t_cases""")
+def s1_cases(s, d):
+    return plain(ad.cases(s, d))
+
+
 @query("s1_call_transcripts", f"""SELECT transcript_id, case_id, call_id, chunk_number, stream_type, transcript_text,
        round(audio_duration, 6) AS audio_duration, {STAMP.format('created_at')} AS created_at FROM t_turns""")
 def s1_call_transcripts(s, d):
