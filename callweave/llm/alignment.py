@@ -30,11 +30,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import os
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby, repeat
+from itertools import chain, groupby, repeat
 from operator import itemgetter
 
 import numpy as np
@@ -51,6 +49,7 @@ BUCKETS = 128
 RECORDS = 1 << 21  # of a run
 DOCUMENTS = 1 << 14  # of a run
 FAN = 8  # runs that are merged at once
+WIDE = 4096  # links of a group, beyond which it is counted by its distinct ids
 MEMORY = 1 << 18  # remembered units; beyond it they are forgotten, which changes time only
 
 RUNS = ("run long, bucket int, pairs binary, found binary, "
@@ -85,77 +84,142 @@ def unpacked(data: bytes) -> list[np.ndarray]:
 
 # --- units ----------------------------------------------------------------------------------------------------------------
 
-class Unit:
-    """What both tokenizers make of a stretch of text that begins with a space."""
-
-    __slots__ = ("counts", "groups", "links", "pairs", "valid")
-
-    def __init__(self, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int], valid: bool) -> None:
-        self.valid = valid
-        pairs: Counter[int] = Counter()
-        texts = []
-        i = j = 0
-        common = sorted(set(a_ends) & set(b_ends)) if valid else []
-        for end in common:
-            p, q = i, j
-            while i < len(a) and a_ends[i] <= end:
-                i += 1
-            while j < len(b) and b_ends[j] <= end:
-                j += 1
-            texts.append(f"{','.join(map(str, a[p:i]))}|{','.join(map(str, b[q:j]))}")
-            own_b = Counter(b[q:j]).items()
-            for x, n in Counter(a[p:i]).items():
-                for y, m in own_b:
-                    pairs[x << 32 | y] += n * m
-        self.groups = ";".join(texts)
-        self.counts = (len(a), len(b), len(common), sum(pairs.values())) if valid else (0, 0, 0, 0)
-        self.pairs = np.fromiter(pairs.keys(), np.int64, len(pairs))
-        self.links = np.fromiter(pairs.values(), np.int64, len(pairs))
+class Pool:
+    """A numpy array that grows at its end."""
+
+    def __init__(self) -> None:
+        self.held, self.n = np.empty(1 << 16, np.int64), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        while self.n + len(more) > len(self.held):
+            self.held = np.concatenate([self.held, np.empty(len(self.held), np.int64)])
+        self.held[self.n:self.n + len(more)] = more
+        self.n += len(more)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.held[at]
 
 
 class Aligner:
-    """Both tokenizers, with a memory of units."""
+    """Both tokenizers, with a memory of units: stretches of text that begin with a space.
+
+    A unit has a number. ``text`` are its groups, ``counts`` its numbers of tokens of A and of B, groups and links (four each),
+    ``valid`` whether both sides give its bytes back, and ``pairs`` and ``links`` up to ``ends`` its distinct pairs.
+    """
 
     def __init__(self, side_a: str | None = None, side_b: str | None = None) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(side_a or tokens.vocabulary_path(SIDE_A))
+        self.coder = tokens.Encoder(side_a or tokens.vocabulary_path(SIDE_A))
+        self.coder.special = []
+        self.a = self.coder.model
         self.a.encode_special_tokens = True
         byte_of = {chr(b): b for b in tokens._SHOWN} | {chr(c): b for b, c in tokens._AS_TEXT.items()}
+        names = self.a.get_vocab()
         # What is no byte's sign (only a special token has such) is no byte either: its length then differs from the text's.
-        self.a_bytes = {i: bytes(byte_of[c] for c in t if c in byte_of) for t, i in self.a.get_vocab().items()}
+        self.a_bytes = [b""] * (max(names.values()) + 1)
+        for t, i in names.items():
+            self.a_bytes[i] = bytes(byte_of[c] for c in t if c in byte_of)
         self.b = SentencePieceProcessor(model_file=side_b or tokens.vocabulary_path(SIDE_B))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece holds a space behind another character, so units cannot be read by themselves")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.memory: dict[bytes, Unit] = {}
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.decimal = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.slot: dict[bytes, int] = {}
+        self.text: list[str] = []
+        self.counts, self.valid, self.ends, self.pairs, self.links = (Pool() for _ in range(5))
+        self.ends.extend(np.zeros(1, np.int64))
 
     def _b_ids(self, units: list[str]) -> list[list[int]]:
         """B's ids. It adds a space to what it is given; units that are nothing but spaces stand behind a letter."""
         asked = ["x" + u if not u.strip(" ") else u[1:] for u in units]
         return [ids[1:] if len(t) > len(u) else ids for ids, t, u in zip(self.b.encode(asked, num_threads=1), asked, units, strict=True)]
 
-    def learn(self, units: list[bytes]) -> dict[bytes, Unit]:
-        texts = [u.decode() for u in units]
-        found = {}
-        for u, e, b in zip(units, self.a.encode_batch_fast(texts, add_special_tokens=False), self._b_ids(texts), strict=True):
-            a = e.ids
-            a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            ends = [np.cumsum([len(x) for x in own], dtype=np.int64).tolist() for own in (a_bytes, b_bytes)]
-            found[u] = Unit(a, b, *ends, valid=b"".join(a_bytes) == u == b"".join(b_bytes))
-        return found
-
-    def units(self, raw: bytes, starts: np.ndarray) -> list[Unit]:
+    def learn(self, units: list[bytes]) -> None:
+        raw = b"".join(units)
+        n = len(units)
+        bounds = np.cumsum([0, *map(len, units)])
+        a, a_first = self.coder.encode(np.frombuffer(raw, np.uint8), bounds)
+        b_lists = self._b_ids([u.decode() for u in units])
+        b_first = np.cumsum([0, *map(len, b_lists)])
+        b = np.fromiter(chain.from_iterable(b_lists), np.int64, int(b_first[-1]))
+        a = a.astype(np.int64)
+        valid = self._gives_back(units, bounds, a, a_first, b, b_first)
+        # Places in the joined units, at which tokens end; those of units that are not valid count for nothing.
+        unit_a, unit_b = np.repeat(np.arange(n), np.diff(a_first)), np.repeat(np.arange(n), np.diff(b_first))
+        good_a, good_b = valid[unit_a], valid[unit_b]
+        a, unit_a, b, unit_b = a[good_a], unit_a[good_a], b[good_b], unit_b[good_b]
+        length = np.diff(bounds) * valid
+        base = np.cumsum(length) - length
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        common = np.intersect1d(a_end, b_end)
+        unit_g = np.searchsorted(base + length, common)  # the unit that a group lies in: the first that ends there or later
+        a_edge = np.concatenate([[0], np.searchsorted(a_end, common, "right")])
+        b_edge = np.concatenate([[0], np.searchsorted(b_end, common, "right")])
+        pairs, links, unit_p = self._links(a, b, a_edge, b_edge, unit_g)
+        dec = self.decimal
+        shown_a, shown_b = [dec[i] for i in a.tolist()], [dec[i] for i in b.tolist()]
+        ea, eb = a_edge.tolist(), b_edge.tolist()
+        texts = [",".join(shown_a[ea[k]:ea[k + 1]]) + "|" + ",".join(shown_b[eb[k]:eb[k + 1]]) for k in range(len(common))]
+        g_edge = np.searchsorted(unit_g, np.arange(n + 1)).tolist()
+        self.slot.update(zip(units, range(len(self.text), len(self.text) + n), strict=True))
+        self.text += [texts[s] if e == s + 1 else ";".join(texts[s:e]) for s, e in zip(g_edge[:-1], g_edge[1:], strict=True)]
+        count = lambda of, weight=None: np.bincount(of, weight, n).astype(np.int64)
+        total = np.zeros(n, np.int64)
+        np.add.at(total, unit_p, links)
+        self.counts.extend(np.column_stack([count(unit_a), count(unit_b), count(unit_g), total]).ravel())
+        self.valid.extend(valid.astype(np.int64))
+        self.ends.extend(self.pairs.n + np.cumsum(count(unit_p)))
+        self.pairs.extend(pairs)
+        self.links.extend(links)
+
+    def _gives_back(self, units: list[bytes], bounds: np.ndarray, a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray) -> np.ndarray:
+        """Which units both sides give back byte by byte."""
+        ok = np.ones(len(units), bool)
+        for ids, first, table in ((a.tolist(), a_first.tolist(), self.a_bytes), (b.tolist(), b_first.tolist(), self.b_bytes)):
+            back = [table[i] for i in ids]
+            if b"".join(back) == b"".join(units) and np.array_equal(np.concatenate([[0], np.cumsum([len(x) for x in back])])[first], bounds):
+                continue
+            ok &= [b"".join(back[s:e]) == u for s, e, u in zip(first[:-1], first[1:], units, strict=True)]
+        return ok
+
+    def _links(self, a: np.ndarray, b: np.ndarray, a_edge: np.ndarray, b_edge: np.ndarray, unit_g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of each unit with their numbers of links, and their units. Groups with very many tokens on both sides are
+        counted by their distinct ids."""
+        na, nb = np.diff(a_edge), np.diff(b_edge)
+        wide = np.flatnonzero(na * nb > WIDE)
+        plain = np.flatnonzero(na * nb <= WIDE)
+        size = (na * nb)[plain]
+        group = np.repeat(plain, size)
+        nth = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
+        x, y = a[a_edge[group] + nth // nb[group]], b[b_edge[group] + nth % nb[group]]
+        unit, pair, n = [unit_g[group]], [x << 32 | y], [np.ones(len(group), np.int64)]
+        for g in wide.tolist():
+            ids_a, n_a = np.unique(a[a_edge[g]:a_edge[g + 1]], return_counts=True)
+            ids_b, n_b = np.unique(b[b_edge[g]:b_edge[g + 1]], return_counts=True)
+            unit.append(np.full(len(ids_a) * len(ids_b), unit_g[g]))
+            pair.append((ids_a[:, None] << 32 | ids_b).ravel())
+            n.append((n_a[:, None] * n_b).ravel())
+        unit, pair, n = np.concatenate(unit), np.concatenate(pair), np.concatenate(n)
+        order = np.lexsort((pair, unit))
+        unit, pair, n = unit[order], pair[order], n[order]
+        first = np.flatnonzero((np.diff(unit, prepend=-1) != 0) | (np.diff(pair, prepend=-1) != 0))
+        return pair[first], np.add.reduceat(n, first) if len(first) else n, unit[first]
+
+    def units(self, raw: bytes, starts: np.ndarray) -> np.ndarray:
+        """Numbers of the units of a slice, valid until the next call."""
         ends = [*starts[1:].tolist(), len(raw)]
         names = [raw[s:e] for s, e in zip(starts.tolist(), ends, strict=True)]
-        if len(self.memory) >= MEMORY:
-            self.memory.clear()
-        if new := list(set(names).difference(self.memory)):
-            self.memory.update(self.learn(new))
-        return [self.memory[u] for u in names]
+        if len(self.text) >= MEMORY:
+            self._empty()
+        if new := list(set(names).difference(self.slot)):
+            self.learn(new)
+        return np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
 
 
 @lru_cache(maxsize=1)
@@ -186,7 +250,7 @@ class Gathered:
         if self.records:
             doc, pair, links = (np.concatenate(c) for c in zip(*self.records, strict=True))
             bucket = (pair >> 32) % self.buckets
-            order = np.lexsort((doc, pair, bucket))
+            order = np.lexsort((pair, bucket))  # documents stay in order
             doc, pair, links, bucket = doc[order], pair[order], links[order], bucket[order]
             first = np.ones(len(doc), bool)
             first[1:] = (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])
@@ -211,7 +275,7 @@ def runs(docs: DataFrame, side_a: str | None = None, side_b: str | None = None,
             for row, data, bounds in arrays.text_slices(batch.column(1), rows=DOCUMENTS // 4):
                 data, starts, bounds = spaced(data, bounds)
                 units = coder.units(data.tobytes(), starts)
-                _described(held, keys[row:row + len(bounds) - 1], units, np.searchsorted(starts, bounds))
+                _described(held, keys[row:row + len(bounds) - 1], coder, units, np.searchsorted(starts, bounds))
                 if held.n >= records or len(held.docs[0]) >= DOCUMENTS // 2:
                     yield from held.rows()
                     number += 1
@@ -222,10 +286,11 @@ def runs(docs: DataFrame, side_a: str | None = None, side_b: str | None = None,
     return in_tables(documents(docs).mapInArrow(work, RUNS))
 
 
-def group_texts(units: list[Unit], of_doc: np.ndarray) -> list[str]:
+def group_texts(coder: Aligner, units: np.ndarray, of_doc: np.ndarray) -> list[str]:
     """The groups of each document, which has the units ``of_doc[i] .. of_doc[i + 1]``; without tokens an empty text."""
-    own = [units[s:e] for s, e in zip(of_doc[:-1].tolist(), of_doc[1:].tolist(), strict=True)]
-    return [";".join([u.groups for u in us]) if all(u.valid for u in us) else "" for us in own]
+    texts = [coder.text[u] for u in units.tolist()]
+    bad = np.concatenate([[0], np.cumsum(coder.valid[units] == 0)])[of_doc]
+    return [";".join(texts[s:e]) if good else "" for s, e, good in zip(of_doc[:-1].tolist(), of_doc[1:].tolist(), (bad[1:] == bad[:-1]).tolist(), strict=True)]
 
 
 def groups(docs: DataFrame, side_a: str | None = None, side_b: str | None = None) -> DataFrame:
@@ -233,7 +298,8 @@ def groups(docs: DataFrame, side_a: str | None = None, side_b: str | None = None
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for row, data, bounds in arrays.text_slices(batch.column(1)):
             data, starts, bounds = spaced(data, bounds)
-            texts = group_texts(aligner(side_a, side_b).units(data.tobytes(), starts), np.searchsorted(starts, bounds))
+            coder = aligner(side_a, side_b)
+            texts = group_texts(coder, coder.units(data.tobytes(), starts), np.searchsorted(starts, bounds))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(texts, pa.string())], names=["doc_id", "groups"])
 
     return documents(docs).mapInArrow(by_slices(work), "doc_id long, groups string")
@@ -248,39 +314,26 @@ def spaced(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return data, starts[data[starts] == 32], bounds
 
 
-def _described(held: Gathered, keys: list[int], units: list[Unit], of_doc: np.ndarray) -> None:
+def _described(held: Gathered, keys: list[int], coder: Aligner, units: np.ndarray, of_doc: np.ndarray) -> None:
     """Add some documents with their units to a run."""
     first = len(held.docs[0])
-    number: dict[int, int] = {}
-    distinct: list[Unit] = []
-    for u in units:
-        if id(u) not in number:
-            number[id(u)] = len(distinct)
-            distinct.append(u)
-    slot = np.fromiter((number[id(u)] for u in units), np.int64, len(units))
     doc = np.repeat(np.arange(len(keys)), np.diff(of_doc))
     valid = np.ones(len(keys), bool)
-    if len(units):
-        valid[doc[~np.fromiter((u.valid for u in distinct), bool, len(distinct))[slot]]] = False
+    valid[doc[coder.valid[units] == 0]] = False
     counts = np.zeros((len(keys), 4), np.int64)
-    if len(units):
-        np.add.at(counts, doc, np.array([u.counts for u in distinct], np.int64)[slot])
+    np.add.at(counts, doc, coder.counts[units[:, None] * 4 + np.arange(4)])
     counts[~valid] = 0
     held.docs[0] += keys
     for k in range(4):
         held.docs[k + 1] += counts[:, k].tolist()
-    held.docs[5] += [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in group_texts(units, of_doc)]
-    if not len(units):
-        return
+    held.docs[5] += [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in group_texts(coder, units, of_doc)]
     keep = valid[doc]
-    key, times = np.unique(doc[keep] * len(distinct) + slot[keep], return_counts=True)
-    doc, slot = key // len(distinct), key % len(distinct)
-    sizes = np.fromiter((len(u.pairs) for u in distinct), np.int64, len(distinct))
-    ends = np.cumsum(sizes)
-    n = sizes[slot]
-    at = np.repeat((ends - sizes)[slot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    pairs, links = np.concatenate([u.pairs for u in distinct]), np.concatenate([u.links for u in distinct])
-    held.add(np.repeat(doc, n) + first, pairs[at], links[at] * np.repeat(times, n))
+    key, times = np.unique(doc[keep] * len(coder.text) + units[keep], return_counts=True)
+    doc, unit = key // max(1, len(coder.text)), key % max(1, len(coder.text))
+    start = coder.ends[unit]
+    n = coder.ends[unit + 1] - start
+    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    held.add(np.repeat(doc, n) + first, coder.pairs[at], coder.links[at] * np.repeat(times, n))
 
 
 # --- merges ---------------------------------------------------------------------------------------------------------------
@@ -446,4 +499,4 @@ def aligned(docs: DataFrame, side_a: str | None = None, side_b: str | None = Non
     return held.groupBy("run").cogroup(sums.groupBy("run")).applyInArrow(finish, _RESULT)
 
 
-__all__ = ["Aligner", "Unit", "aligned", "counted", "groups", "merged", "pair_counts", "runs", "streamed_back"]
+__all__ = ["Aligner", "aligned", "counted", "groups", "merged", "pair_counts", "runs", "streamed_back"]

@@ -67,7 +67,7 @@ def test_random_units(coder):
     for text in [t for t in ODD if t] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(4000)]:
         raw = np.frombuffer(text.encode(), np.uint8)
         data, starts, bounds = alignment.spaced(raw, np.array([0, len(raw)]))
-        got = alignment.group_texts(coder.units(data.tobytes(), starts), np.searchsorted(starts, bounds))[0]
+        got = alignment.group_texts(coder, coder.units(data.tobytes(), starts), np.searchsorted(starts, bounds))[0]
         assert got == ";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in whole(coder, text)[2]), repr(text)
 
 
@@ -88,7 +88,19 @@ def test_small_memory_changes_nothing(monkeypatch, coder):
     for text in ["one two three four", "four five one", "two  one seven "]:
         raw = np.frombuffer(text.encode(), np.uint8)
         data, starts, _ = alignment.spaced(raw, np.array([0, len(raw)]))
-        assert [u.groups for u in small.units(data.tobytes(), starts)] == [u.groups for u in coder.units(data.tobytes(), starts)]
+        of_doc = np.array([0, len(starts)])
+        assert alignment.group_texts(small, small.units(data.tobytes(), starts), of_doc) == alignment.group_texts(coder, coder.units(data.tobytes(), starts), of_doc)
+
+
+def test_wide_groups_count_like_narrow_ones(monkeypatch, coder):
+    units = [b" the cat", b" a aaaa", " é日本".encode(), b" x,y;z"]
+    monkeypatch.setattr(alignment, "WIDE", 0)
+    other = alignment.Aligner()
+    for c in (coder, other):
+        c._empty()
+        c.learn(units)
+    assert coder.text == other.text and all(coder.__dict__[k].held[:coder.__dict__[k].n].tolist() == other.__dict__[k].held[:other.__dict__[k].n].tolist()
+                                            for k in ("counts", "valid", "ends", "pairs", "links"))
 
 
 def test_columns_round_trip():
