@@ -194,9 +194,36 @@ def test_enrichment_stream_equals_batch(spark, worked_example, tmp_path):
     jobs.enrich_stream(stream, worked_example, path, config)
     assert not [f for f in set(os.listdir(shared)) - before if f.startswith("table-")]  # a batch's own tables are gone
     events = spark.read.parquet(os.path.join(path, "events"))
-    last = events.filter(F.col("batch_id") == events.agg(F.max("batch_id")).first()[0]).drop("batch_id")
+    newest = events.groupBy("call_id", "type").agg(F.max("seq").alias("seq"))
+    last = events.join(newest, ["call_id", "type", "seq"], "left_semi").drop("batch_id")
     nothing = spark.createDataFrame([], schemas.TABLES["call_candidate_values"])
     batch = enrich(tr.full_transcript(chunks).join(call_times(chunks), "call_id"), worked_example, nothing, config)
     assert content(last) == content(batch.events)
     stored = spark.read.parquet(os.path.join(path, "candidates"))
     assert stored.count() == stored.select("call_id", "field_name", "field_value").distinct().count()
+
+
+def test_all_points_of_a_batch_and_broken_batches(spark, worked_example, tmp_path):
+    """Points in one batch give what they give one after the other; a batch that broke off between its tables is not there."""
+    rows = [(f"call{c}", n, " ".join(TURNS[:n])) for c in range(2) for n in (3, 4)]
+    points = spark.createDataFrame(rows, "call_id string, chunk_number long, full_transcript string").select(
+        "call_id", "chunk_number", F.length("full_transcript").cast("long").alias("transcript_chars"), F.lit("growth").alias("reason"), "full_transcript",
+        F.lit(0).cast("long").alias("started_at"), (F.col("chunk_number") * 10**6).alias("updated_at"))
+    config = JobConfig(similarity_threshold_case=0.1)
+    one, two = (jobs.EnrichmentSink(worked_example, str(tmp_path / n), config) for n in ("one", "two"))
+    one(points, 0)
+    two(points.filter("chunk_number = 3"), 0)
+
+    class Broken(jobs.EnrichmentSink):
+        def _folder(self, table, batch_id=None):
+            if table == "events" and batch_id is not None:
+                raise OSError("the executor went")
+            return super()._folder(table, batch_id)
+
+    with pytest.raises(OSError, match="went"):
+        Broken(worked_example, str(tmp_path / "two"), config)(points.filter("chunk_number = 4"), 1)
+    assert two.candidates(spark).filter("batch_id = 1").count() == 0
+    two(points.filter("chunk_number = 4"), 1)
+    drop = lambda df: sorted(map(tuple, df.drop("batch_id", "day").collect()), key=repr)
+    assert drop(one.events(spark)) == drop(two.events(spark)) and one.events(spark).count() > 10
+    assert drop(one.candidates(spark)) == drop(two.candidates(spark))
