@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from callweave import schemas
+from callweave.functions.shapes import parse_extraction, segments
 from callweave.functions.text import any_of, col, long_enough, missing
+from callweave.operators.model import Models
 from callweave.operators.similarity import tokens
 
 # One pattern per field; group 1 is the value.
@@ -50,10 +52,14 @@ def pattern_field(text: Column | str, field: str) -> Column:
     return F.when(worth_it, F.nullif(hit, F.lit("")))
 
 
-def extract_fields(transcripts: DataFrame, products: DataFrame | None = None, text: str = "full_transcript") -> DataFrame:
+def extract_fields(transcripts: DataFrame, products: DataFrame | None = None, text: str = "full_transcript",
+                   models: Models | None = None) -> DataFrame:
     """The nine fields of every call. With ``products``, calls without a set phrase take the catalogue name that
-    their text mentions."""
+    their text mentions. A model in ``models`` reads the text instead; what is no JSON gives no fields."""
     keep = [c for c in transcripts.columns if c != text]
+    if models and models.extract:
+        answered = models.answers.ask(transcripts, models.extract, "extract", [text])
+        return answered.select(*keep, parse_extraction("result").alias("__fields")).select(*keep, "__fields.*")
     fields = transcripts.select(*keep, text, *[pattern_field(text, f).alias(f) for f in schemas.FIELDS])
     if products is None:
         return fields.drop(text)
@@ -93,13 +99,19 @@ CALLER_CUES = r"(?i)(my name is|my email|my phone|my order|my address|i bought|i
 SENTENCE = r"([^.!?]+[.!?]*\s*|[.!?]+\s*)"
 
 
-def label_speakers(chunks: DataFrame, text: str = "transcript_text", role: str | None = None) -> DataFrame:
+def label_speakers(chunks: DataFrame, text: str = "transcript_text", role: str | None = None, models: Models | None = None) -> DataFrame:
     """Speaker segments of each chunk as an array column ``segments``.
 
     A source with roles keeps them. Otherwise sentences with an agent's phrase, and questions, are the agent's
     unless they hold a caller's phrase; neighbours of one speaker form one segment. The texts of a chunk's segments
-    add up to the chunk. Chunks below five characters stay whole.
+    add up to the chunk. Chunks below five characters stay whole, as do those for which a model in ``models`` gives no segments.
     """
+    if models and models.label:
+        long = F.coalesce(long_enough(text, 5), F.lit(False))
+        answered = models.answers.ask(chunks.filter(long), models.label, "label", [text])
+        short = chunks.filter(~long).withColumn("result", F.lit(None).cast("string"))
+        both = answered.select(*chunks.columns, "result").unionByName(short)
+        return both.withColumn("segments", segments(text, "result")).drop("result")
     whole = F.array(F.struct(F.lit("caller").alias("speaker"), F.col(text).alias("text")))
     if role is not None:
         who = F.when(F.lower(role) == "agent", "agent").otherwise("caller")
@@ -116,7 +128,7 @@ def label_speakers(chunks: DataFrame, text: str = "transcript_text", role: str |
         """``body`` of ``value``, which is worked out once."""
         return F.transform(F.array(value), body)[0]
 
-    def segments(sentences: Column) -> Column:
+    def slices(sentences: Column) -> Column:
         """One slice of sentences from each change of the speaker to the next."""
         changes = F.filter(F.transform(sentences, lambda s, i: F.when(
             (i == 0) | (s["speaker"] != F.try_element_at(sentences, F.greatest(i, F.lit(1)))["speaker"]), i + 1)), lambda i: i.isNotNull())
@@ -128,6 +140,6 @@ def label_speakers(chunks: DataFrame, text: str = "transcript_text", role: str |
             return F.transform(starts, segment)
         return once(changes, cut)
 
-    merged = once(labelled, segments)
+    merged = once(labelled, slices)
     return chunks.withColumn("segments", F.when(
         ~missing(text) & long_enough(text, 5) & (F.size(merged) > 0), merged).otherwise(whole))

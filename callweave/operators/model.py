@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -59,6 +60,49 @@ def map_model(df: DataFrame, fn: Model, in_cols: list[str], out_schema: str, bat
     return df.withColumn("__key", key).join(results, "__key", "left").drop("__key")
 
 
+class AnswerStore:
+    """Answers of models below a folder that all executors see, by the hash of the input.
+
+    An input that has an answer is not asked again, by whichever batch, stream or retry: known answers are read first, and new
+    ones are appended in one commit before anything is made of them. Failures are not kept, so they are asked again next time.
+    Two jobs that ask the same at the same time may both ask; readers take one of equal inputs' answers.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _known(self, df: DataFrame, name: str) -> DataFrame:
+        spark, place = df.sparkSession, f"{self.path}/{name}"
+        schema = "__ask string, result string"
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        known = spark.read.schema(schema).parquet(place) if there else spark.createDataFrame([], schema)
+        return known.groupBy("__ask").agg(F.min("result").alias("result"))
+
+    def ask(self, df: DataFrame, fn: Model, name: str, in_cols: list[str], **options) -> DataFrame:
+        """``df`` with the JSON text ``result`` that ``fn`` gives for ``in_cols``, and ``error``."""
+        key = F.sha2(F.to_json(F.struct(*in_cols), {"ignoreNullFields": "false"}), 256)
+        keyed, known = df.withColumn("__ask", key), self._known(df, name)
+        new = keyed.select("__ask", *in_cols).dropDuplicates(["__ask"]).join(known, "__ask", "left_anti")
+        answers = stored(map_model(new, fn, in_cols, "result string", store=False, **options).select("__ask", "result", "error"))
+        answers.filter("error is null").select("__ask", "result").write.mode("append").parquet(f"{self.path}/{name}")
+        known = self._known(df, name).withColumn("error", F.lit(None).cast("string"))
+        return keyed.join(known.unionByName(answers.filter("error is not null")), "__ask", "left").drop("__ask")
+
+
+@dataclass(frozen=True)
+class Models:
+    """Models in the place of the rules. Each turns a frame of its input into JSON texts ``result``; None leaves the rule.
+
+    ``extract`` reads ``full_transcript``, ``label`` ``transcript_text``, ``recommend`` the ``prompt`` of a call.
+    """
+
+    answers: AnswerStore
+    extract: Model | None = None
+    label: Model | None = None
+    recommend: Model | None = None
+
+
 def transcribe(manifest: DataFrame, fn: Model, **options) -> DataFrame:
     """Transcripts of segment files: ``fn`` turns ``path`` and ``content`` into a JSON ``result`` per file.
 

@@ -10,12 +10,13 @@ from callweave.functions import shapes, text as tx
 from callweave.operators import candidates as ca, events as ev, extraction as ex, orders as od, recommend as rc, transcript as tr
 from callweave.operators.customers import find_by_substring, identify_by_name, identify_customer
 from callweave.operators.matching import match_counts, match_products, similar_cases, with_bands
-from callweave.operators.model import map_model, transcribe
+from callweave.operators.model import AnswerStore, Models, map_model, transcribe
 from callweave.operators.similarity import text_similarity_join, top_k, vector_similarity_join
 from callweave.plans.derived import strip
 from callweave.plans.enrich import References, call_times, enrich
 from callweave.plans.registry import cte, query
 from callweave.plans.table_queries import candidates, extracted, plain
+from callweave.session import run_dir, stored
 from callweave.sources import adapters as ad
 from callweave.sources.tables import raw
 
@@ -530,6 +531,30 @@ def m0_map_model(s, d):
     return rows.select("conv_id", "turn", "chars", "error")
 
 
+def _first_words(batch: pd.DataFrame) -> pd.DataFrame:
+    """A model that takes a document's first word as the name and the rest of its first 40 characters as the issue."""
+    import json
+    rows = []
+    for text in batch["full_transcript"]:
+        if "@" in text:
+            raise ValueError("no addresses")
+        head, _, rest = text[:40].partition(" ")
+        rows.append(json.dumps({"response": {"customer_name": head, "issue_description": rest}}))
+    return pd.DataFrame({"result": rows})
+
+
+@query("e1_extract_fields_model", """
+    SELECT doc_id AS call_id, CASE WHEN ok THEN split_part(head, ' ', 1) END AS customer_name,
+           CASE WHEN ok THEN CASE WHEN position(' ' IN head) > 0 THEN substr(head, position(' ' IN head) + 1) ELSE '' END END AS issue_description
+    FROM (SELECT doc_id, substr(text, 1, 40) AS head, position('@' IN text) = 0 AS ok FROM documents)""")
+def e1_extract_fields_model(s, d):
+    """Fields by a model, half of the documents first: the rest is asked, and nothing twice."""
+    docs = raw(s, d, "documents").select(F.col("doc_id").alias("call_id"), F.col("text").alias("full_transcript"))
+    models = Models(AnswerStore(run_dir(s, "answers")), extract=_first_words)
+    stored(ex.extract_fields(docs.filter("call_id % 2 = 0"), models=models))
+    return ex.extract_fields(docs, models=models).select("call_id", "customer_name", "issue_description")
+
+
 def _read_text(batch: pd.DataFrame) -> pd.DataFrame:
     import json
     texts = [c.decode("utf-8") for c in batch["content"]]
