@@ -19,9 +19,9 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ from callweave.llm.tables import by_slices, documents
 RANKS = "byte_bpe_50k.tiktoken"
 STRETCH = 1 << 20  # characters of a text that are cut into pieces together
 MEMORY = 1 << 19  # remembered pieces and pairs; beyond it they are forgotten, which changes time only
+PARTED = "\u0100"
 SHORT = 256  # bytes of a piece that is worth remembering
 
 ENCODED = "doc_id long, ids array<int>"
@@ -60,10 +61,11 @@ class Merges:
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
         self.size = [len(b) for b in self.bytes_of]
+        self.longest_size = max(self.size, default=0)
         self.shorter = [next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in ranks), -1) for b in self.bytes_of]
         self.merged: dict[tuple[int, int], int] = {}
         self.halves: list[tuple[int, int] | None] = [None] * len(self.bytes_of)
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         for rank, token in enumerate(self.bytes_of):
             left = self.shorter[rank]
             while left >= 0:
@@ -93,7 +95,7 @@ class Merges:
                 before, right = right + 1, parts_right[0]
 
     def neighbours(self, left: int, right: int) -> bool:
-        key = left, right
+        key = left << 32 | right
         found = self.known.get(key)
         if found is None:
             if len(self.known) >= MEMORY:
@@ -103,29 +105,55 @@ class Merges:
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        longest = array("i", bytes(4 * len(piece)))
-        for end, (rank, size) in self.automaton.iter(piece.decode("latin-1")):
-            longest[end - size + 1] = rank  # matches that end later are longer
-        size, shorter, neighbours = self.size, self.shorter, self.neighbours
-        open_ = bytearray(b"\1") * (len(piece) + 1)  # ends from which there may be a way on
+        return self.encode_all([piece])[0]
+
+    def encode_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pieces. They go through the automaton in one row, parted by a character that is no byte and so in no token.
+
+        That gives the longest tokens from left to right, each from where the one before ends. Where a shorter one is taken, the
+        automaton goes on from its end when it is asked.
+        """
+        text = PARTED.join([p.decode("latin-1") for p in pieces])
+        longest = array("i", [-1]) * len(text)
+        for end, (rank, size) in self.automaton.iter_long(text):
+            longest[end - size + 1] = rank
+        out, first = [], 0
+        for piece in pieces:
+            whole = self.ranks.get(piece)
+            out.append(self._backtracked(text, longest, first, len(piece)) if whole is None else [whole])
+            first += len(piece) + 1
+        return out
+
+    def _longest(self, text: str, at: int, end: int) -> int:
+        """The longest token from ``at`` on."""
+        return next(self.automaton.iter_long(text[at:min(end, at + self.longest_size)]), (0, (-1, 0)))[1][0]
+
+    def _backtracked(self, text: str, longest: array, first: int, n: int) -> list[int]:
+        """Ids of the piece of ``n`` bytes from ``first`` on."""
+        size, shorter, known, neighbours = self.size, self.shorter, self.known, self.neighbours
+        open_ = bytearray(b"\1") * (n + 1)  # ends from which there may be a way on
         out: list[int] = []
-        at, token = 0, longest[0]
-        while at < len(piece):
-            last = out[-1] if out else -1
-            while token >= 0 and not (open_[at + size[token]] and (last < 0 or neighbours(last, token))):
+        at, last = 0, -1
+        token = longest[first] if n else -1
+        while at < n:
+            while token >= 0:
+                end = at + size[token]
+                if open_[end] and (last < 0 or (ok if (ok := known.get(last << 32 | token)) is not None else neighbours(last, token))):
+                    break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at += size[token]
-                token = longest[at] if at < len(piece) else -1
+                at, last = end, token
+                token = longest[first + at] if at < n else -1
+                if token < 0 and at < n:
+                    token = longest[first + at] = self._longest(text, first + at, first + n)
             else:
                 if not out:
                     raise ValueError("the table of ranks lacks single bytes")
                 open_[at] = 0
-                at -= size[out.pop()]
-                token = shorter[last]
+                token = shorter[out.pop()]
+                at -= size[last]
+                last = out[-1] if out else -1
         return out
 
 
@@ -139,7 +167,7 @@ class Encoder:
         self.merges = Merges(read_ranks(path or public_tokenizers.path(RANKS)))
         self.pieces = regex.compile(pattern or public_tokenizers.PATTERN)
         self.border = regex.compile(r"(?<=[0-9A-Za-z]) ")
-        self.memory: dict[str, list[int]] = {}
+        self.memory: dict[str, bytes] = {}  # ids of pieces, four bytes each
 
     def stretches(self, text: str) -> Iterator[str]:
         at = 0
@@ -158,13 +186,15 @@ class Encoder:
         for stretch in self.stretches(text):
             pieces = self.pieces.findall(stretch)
             memory = self.memory
-            if new := set(pieces).difference(memory):
-                learned = {p: self.merges.encode(p.encode()) for p in new}
-                memory.update((p, ids) for p, ids in learned.items() if len(p) <= SHORT)
-                if any(len(p) > SHORT for p in new):
-                    memory = memory | learned
-            parts.append(np.fromiter(chain.from_iterable(map(memory.__getitem__, pieces)), np.int32))
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+            if new := list(set(pieces).difference(memory)):
+                learned = {p: array("i", ids).tobytes() for p, ids in zip(new, self.merges.encode_all([p.encode() for p in new]), strict=True)}
+                if max(map(len, new)) <= SHORT:
+                    memory.update(learned)
+                else:
+                    memory.update((p, ids) for p, ids in learned.items() if len(p) <= SHORT)
+                    memory = ChainMap(learned, memory)
+            parts.append(b"".join([memory[p] for p in pieces]))
+        return np.frombuffer(b"".join(parts), np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -173,6 +203,18 @@ def encoder(path: str | None = None, pattern: str | None = None) -> Encoder:
     return Encoder(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str | None = None) -> list[bytes]:
+    """The bytes of each id, empty for ids that are none."""
+    import public_tokenizers
+
+    ranks = read_ranks(path or public_tokenizers.path(RANKS))
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``(doc_id, ids)`` of every row of ``(doc_id, text)``. Rows without an id cannot be reported and are left out.
 
@@ -191,10 +233,10 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     return documents(docs).mapInArrow(by_slices(work), ENCODED)
 
 
-def decoded(ids: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def decoded(ids: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, ids, bytes)``: the bytes that the ids of each row stand for. A null list has no ids; an unknown id is an error."""
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        bytes_of = encoder(path, pattern).merges.bytes_of
+        bytes_of = token_bytes(path)
         lists = batch.column(1)
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -209,7 +251,7 @@ def decoded(ids: DataFrame, path: str | None = None, pattern: str | None = None)
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of a round trip from texts to ids and back to bytes."""
-    back = decoded(encoded(docs, path, pattern), path, pattern)
+    back = decoded(encoded(docs, path, pattern), path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("bytes", 256).alias("decoded_sha256"))
