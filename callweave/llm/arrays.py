@@ -6,6 +6,7 @@ Hashes have 64 bits and do not depend on the process, so equal spans meet wherev
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,7 +108,11 @@ def words(data: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> tuple[np.nd
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Sums that give the hash of any span of ``values`` by :func:`span_hash`."""
+    """Sums that give the hash of any span of ``values`` by :func:`span_hash`.
+
+    The sums are linear in the values, so values have to be mixed, and spans short: from some hundred items on there are
+    pairs of different spans over two values that have equal sums whatever these are.
+    """
     up, _ = _powers.get(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[:len(values)], out=sums[1:])
@@ -120,8 +125,31 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
 
 
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LONG = 256  # bytes of a word beyond which a cryptographic hash is taken
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_hash(BYTE_VALUES[data]), starts, ends)
+    """Hash of each word's bytes: eight at a time, mixed in one after the other.
+
+    Mixing between steps leaves no arithmetic relation that a text could use: sums of powers modulo 2^64 would be equal for
+    whole families of different words.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    sizes = ends - starts
+    out = mix((eight[starts] & _FIRST[np.minimum(sizes, 8)]) ^ mix(sizes.astype(np.uint64) * np.uint64(_BASE)))
+    longer = np.flatnonzero(sizes > 8)
+    for at in range(8, _LONG, 8):
+        if not len(longer):
+            break
+        left = sizes[longer] - at
+        out[longer] = mix(out[longer] * np.uint64(_BASE) + (eight[starts[longer] + at] & _FIRST[np.minimum(left, 8)]))
+        longer = longer[left > 8]
+    for k in np.flatnonzero(sizes > _LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k]:ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def gram_starts(bounds: np.ndarray, size: int) -> np.ndarray:

@@ -108,13 +108,13 @@ class Encoder:
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(bounds), np.int64)
         ends = np.append(starts[1:], len(data))
-        _, first, which = np.unique(arrays.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        units = [text[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        own = [text[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        units = list(dict.fromkeys(own))  # the bytes themselves are compared, no hash of them
         if len(self.slots) + len(units) > CACHED_UNITS:
             self._empty()
         if new := [u for u in units if u not in self.slots]:
             self._learn(new)
-        slots = np.fromiter(map(self.slots.__getitem__, units), np.int64, len(units))[which]
+        slots = np.fromiter(map(self.slots.__getitem__, own), np.int64, len(own))
         sizes = self.offsets[slots + 1] - self.offsets[slots]
         after = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.repeat(self.offsets[slots] - after[:-1], sizes) + np.arange(after[-1])]

@@ -101,3 +101,15 @@ def test_repeated_rows_and_empty_tables(spark):
     empty = docs.limit(0)
     assert byte_repeats.without_repeats(empty, byte_repeats.repeated_bytes(empty)).count() == 0
     assert word_repeats.without_repeats(empty, word_repeats.repeated_words(empty)).count() == 0
+
+
+def test_different_words_with_equal_sums_of_powers(spark):
+    """Only the words that are really equal go: these two differ."""
+    from test_tokens import thue_morse
+
+    one, two = thue_morse()
+    around = [f"w{i}" for i in range(30)]
+    rows = [(k, " ".join([*around, word, *around])) for k, word in ((1, one), (2, two), (3, one))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in word_repeats.without_repeats(docs, word_repeats.repeated_words(docs)).collect()}
+    assert got == {1: 0, 2: 0, 3: 61}

@@ -40,6 +40,32 @@ def test_units_give_the_ids_of_whole_texts():
             assert coder.model.encode(text, add_special_tokens=False).ids == ids[ends[i]:ends[i + 1]].tolist(), repr(text)
 
 
+def thue_morse():
+    """Two different words whose sums of powers are equal modulo 2^64, whatever the letters stand for."""
+    return ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1)]
+
+
+def test_units_are_compared_by_their_bytes():
+    one, two = thue_morse()
+    coder = tokens.Encoder()
+    text = f"x {one} {two}"
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert coder.encode(data, np.array([0, len(data)]))[0].tolist() == coder.model.encode(text).ids
+
+
+def test_words_have_hashes_of_their_own():
+    rng = random.Random(7)
+    made = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(5000)} | {"q" * n for n in range(1, 600)} | set(thue_morse())
+    words = [w for w in made for _ in range(2)]
+    rng.shuffle(words)
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = arrays.words(data, np.array([0, len(data)]), arrays.NOT_SPACE)
+    found = {}
+    for w, h in zip(words, arrays.word_hashes(data, starts, ends).tolist()):
+        found.setdefault(w, set()).add(h)
+    assert all(len(h) == 1 for h in found.values()) and len(set.union(*found.values())) == len(made)
+
+
 def test_small_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_UNITS", 5)
     coder = tokens.Encoder()
