@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from callweave import schemas
 from callweave.functions import shapes, text as tx
@@ -265,9 +265,14 @@ def j9_new_candidates(s, d):
     return plain(ca.new_candidates(dated(s, d), stored).select("call_id", "field_name", "field_value", "created_at"))
 
 
-@query("w4_newest_candidates", "SELECT call_id, field_name, field_value, created_at FROM t_dated")
+@query("w4_newest_candidates", """SELECT call_id, field_name, field_value, created_at,
+       dense_rank() OVER (PARTITION BY call_id ORDER BY created_at DESC) AS position FROM t_dated""")
 def w4_newest_candidates(s, d):
-    return plain(ca.newest_first(dated(s, d)).select("call_id", "field_name", "field_value", "created_at"))
+    """The position counts the times in the order in which a call's rows stand in the sorted result."""
+    rows = ca.newest_first(dated(s, d)).withColumn("__n", F.monotonically_increasing_id())
+    as_sorted = Window.partitionBy("call_id").orderBy("__n")
+    changes = rows.withColumn("__new", (~F.col("created_at").eqNullSafe(F.lag("created_at").over(as_sorted))).cast("bigint"))
+    return plain(changes.withColumn("position", F.sum("__new").over(as_sorted)).select("call_id", "field_name", "field_value", "created_at", "position"))
 
 
 @query("g6_match_counts", """
