@@ -1,24 +1,31 @@
 """Exact n-gram Jaccard join: classes of texts that links of similarity 0.8 and more connect.
 
 Equal shingle sets are one node, named by a hash of the set, before anything is compared. Nodes that are similar share one of
-the shingles at the front of a common order, commonest last; how common a shingle is comes from counters of fixed size over all
-texts. Lists of the nodes that share such a shingle give candidates:
-
-* rounds with a leader: in each list that holds more than one class, every node of another class meets the list's leader.
-  That links large groups by as many pairs as they have members;
-* a last round with all pairs of nodes of a list that are still in different classes and were not tested.
-
-So a pair of similar nodes is tested or already in one class, and no link between classes is lost. Candidates first have to pass
+the shingles at the front of a common order, rarest first. How common shingles are is counted exactly, over all texts, and kept
+as a table of fixed size of the commonest in each cell of the hash range: any table gives an order in which no pair is lost, and
+this one leaves passages that many texts share out of the fronts of all texts that hold enough else. Lists of the nodes that
+share a front shingle give candidates:
+
+* rounds with leaders: each list that holds more than one class has a leader, and every node meets one leader, of the lists of
+  which it is a member. That is one pair for each node, however large a group of near copies is. There is another round as long
+  as three of ten pairs are similar;
+* a last round with all pairs of nodes of a list that are still in different classes.
+
+Pairs only meet at a shingle that can be the first that they share, by their sizes and its places in both orders. A pair of similar
+nodes meets at its first one or is in one class already, so no link between classes is lost. Candidates then have to pass
 a bound: of the numbers of their shingles in 128 parts of the hash range, the smaller ones add up to at least what they can share.
-Only nodes of pairs that pass need their shingles. A test is a T-occurrence search: the query's shingles have inverted lists over its candidates, the long ones are set aside, the short ones are merged
-by a heap, and candidates that may still reach their overlap are looked up in the long lists by binary search (DivideSkip).
+Only nodes of pairs that pass need their shingles. A test is a T-occurrence search: the query's shingles have inverted lists over
+its candidates, the long ones are set aside, the short ones are merged by a heap, and candidates that may still reach their
+overlap are looked up in the long lists by binary search (DivideSkip). Tables of a round are dropped when the next has its own.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections.abc import Iterator
+from itertools import count as count_up
 from itertools import groupby
 
 import numpy as np
@@ -27,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm import arrays
-from callweave.llm.tables import by_slices, documents, in_tables
+from callweave.llm.tables import by_slices, documents, drop, in_tables
 
 SHINGLE = 5
-LEADER_ROUNDS = 2
-COUNTERS = 1 << 20
-CHUNKS = 64
+WORTH = 0.3  # of the pairs tested in a round with leaders that are similar, for another such round
+CELLS = 1 << 24  # of the hash range, a byte each, for how common shingles are
+RANGE = 1 << 19  # shingles that are counted together
+RUN = 1 << 20  # shingles of a sorted run
+MARKS = 1 << 23  # bits that tell which texts may be wanted
 BLOCK = 256  # candidates of one query that are searched together
 PARTS = 128  # of the hash range, for the bound
 WEIGHT = 0.0085  # of a long list's length, for how many lists are set aside
@@ -82,58 +91,90 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -
     return full | (np.minimum(a, b).astype(np.int64).sum(1) >= required(n, m))
 
 
-def named_sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``(doc_id, node, n, spread)`` of all texts, and how many texts have shingles of each counter."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, np.int64)
-        names = ["doc_id", "node", "n", "chunk", "counts", "spread"]
+def shingle_levels(docs: DataFrame, cells: int = CELLS) -> np.ndarray:
+    """How common shingles are: for each cell of the hash range the level of its commonest shingle, 0 if all stand in one text.
+
+    A shingle in n texts has the level floor(log2 n). Counts are exact and cover all texts: tasks write sorted runs of distinct
+    shingles with their counts, dealt by ranges of the hash, and the runs of a range are counted together. There are so many
+    ranges that each has about a million shingles. The driver gets the ``cells`` bytes.
+    """
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    radix = min(cells, max(16, 1 << (size // 6 // RANGE).bit_length()))
+    shift = 64 - (radix.bit_length() - 1)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def rows() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            edges = np.searchsorted(found >> np.uint64(shift), np.arange(radix + 1, dtype=np.uint64)).tolist()
+            own = [k for k in range(radix) if edges[k] < edges[k + 1]]
+            raw, counts = found.tobytes(), n.astype("<u4").tobytes()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(own, pa.int32()), *(pa.array([data[w * edges[k]:w * edges[k + 1]] for k in own], pa.binary()) for data, w in ((raw, 8), (counts, 4)))],
+                names=["part", "found", "n"])
+
         for batch in batches:
-            for row, data, bounds in arrays.text_slices(batch.column(1)):
-                hashes, of_text = shingle_sets(data, bounds)
-                counters += np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
-                n = len(bounds) - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(set_names(hashes, of_text)), pa.array(np.diff(of_text)),
-                                                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-                                                  pa.array([v.tobytes() for v in spread(hashes, of_text)], pa.binary())], names=names)
-        if counters.any():
-            parts = [c.tobytes() for c in counters.reshape(CHUNKS, -1)]
-            none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(parts, pa.binary()),
-                                              pa.nulls(CHUNKS, pa.binary())], names=names)
-
-    both = in_tables(docs.mapInArrow(work, "doc_id long, node long, n long, chunk int, counts binary, spread binary"))
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(COUNTERS // CHUNKS, np.int64)
-        for part in table.column("counts"):
-            total += np.frombuffer(part.as_py(), np.int64)
-        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    summed = both.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
-    counters = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.int64)
-    for r in summed.collect():  # CHUNKS rows, 8 MB in all
-        counters[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    return both.where("chunk is null").select("doc_id", "node", "n", "spread"), counters.ravel()
-
-
-def fronts(docs: DataFrame, counters: np.ndarray) -> DataFrame:
-    """``(token, node, n)``: the shingles at the front of each set. Sets with similarity 0.8 and more share one."""
-    level = docs.sparkSession.sparkContext.broadcast(np.log2(counters + 1).astype(np.uint8))
+            for _, data, bounds in arrays.text_slices(batch.column(0)):
+                held.append(shingle_sets(data, bounds)[0])
+                if sum(map(len, held)) >= RUN:
+                    yield rows()
+        if sum(map(len, held)):
+            yield rows()
+
+    def count(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        found = np.frombuffer(b"".join(table.column("found").to_pylist()), "<u8")
+        n = np.frombuffer(b"".join(table.column("n").to_pylist()), "<u4").astype(np.int64)
+        order = np.argsort(found, kind="stable")
+        found, n = found[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        level = np.floor(np.log2(np.add.reduceat(n, first))).astype(np.uint8)
+        cell = (found[first] >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64) - part * (cells // radix)
+        out = np.zeros(cells // radix, np.uint8)
+        np.maximum.at(out, cell, level)
+        return pa.table({"part": pa.array([part], pa.int32()), "levels": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+
+    levels = np.zeros((radix, cells // radix), np.uint8)
+    counted = docs.select("text").mapInArrow(runs, "part int, found binary, n binary").groupBy("part").applyInArrow(count, "part int, levels binary")
+    for r in counted.toLocalIterator():  # `cells` bytes in all
+        levels[r["part"]] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
+    return levels.ravel()
+
+
+def named_sets(docs: DataFrame) -> DataFrame:
+    """``(doc_id, node, n, spread)`` of all texts."""
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for row, data, bounds in arrays.text_slices(batch.column(1)):
+            hashes, of_text = shingle_sets(data, bounds)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(row, len(bounds) - 1), pa.array(set_names(hashes, of_text)), pa.array(np.diff(of_text)),
+                 pa.array([v.tobytes() for v in spread(hashes, of_text)], pa.binary())], names=["doc_id", "node", "n", "spread"])
+
+    return docs.mapInArrow(by_slices(work), "doc_id long, node long, n long, spread binary")
+
+
+def fronts(docs: DataFrame, levels: np.ndarray) -> DataFrame:
+    """``(token, node, n, place)``: the shingles at the front of each set, rarest first. Sets with similarity 0.8 and more share
+    one. Shingles that stand in one text only are left out, as they are shared with nobody."""
+    level = docs.sparkSession.sparkContext.broadcast(levels)
+    shift = np.uint64(64 - (len(levels).bit_length() - 1))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for _, data, bounds in arrays.text_slices(batch.column(1)):
             hashes, of_text = shingle_sets(data, bounds)
             n = np.diff(of_text)
             text = np.repeat(np.arange(len(n)), n)
-            common = level.value[(hashes >> np.uint64(44)).astype(np.int64)].astype(np.uint64)
+            common = level.value[(hashes >> shift).astype(np.int64)].astype(np.uint64)
             order = np.lexsort(((common << np.uint64(58)) | (hashes >> np.uint64(6)), text))
             place = np.arange(len(hashes)) - of_text[:-1][text]
-            taken = place < (n + (-4 * n // 5) + 1)[text]
+            taken = (place < (n + (-4 * n // 5) + 1)[text]) & (common[order] > 0)
             node = set_names(hashes, of_text)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[order][taken].view(np.int64)), pa.array(node[text[taken]]), pa.array(n[text[taken]])],
-                                             names=["token", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[order][taken].view(np.int64)), pa.array(node[text[taken]]), pa.array(n[text[taken]]),
+                                              pa.array(place[taken])], names=["token", "node", "n", "place"])
 
-    return docs.mapInArrow(by_slices(work), "token long, node long, n long")
+    return docs.mapInArrow(by_slices(work), "token long, node long, n long, place long")
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -206,88 +247,124 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.unionByName(asked).groupBy("q", "block").applyInArrow(search, "a long, b long")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``(node, label)``: the smallest node that links reach, by neighbours' labels and jumps, until nothing changes."""
-    both = in_tables(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = in_tables(nodes.select("node", F.col("node").alias("label")))
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        step = in_tables(step)
-        ahead = step.select(F.col("node").alias("x"), F.col("label").alias("jump"))
-        labels = in_tables(step.join(ahead, step["label"] == ahead["x"], "left").select(
-            "node", F.least("label", F.coalesce("jump", "label")).alias("label"), (F.least("label", F.coalesce("jump", "label")) < F.col("old")).alias("moved")))
-        if labels.where("moved").isEmpty():
-            return labels.select("node", "label")
+def joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, label)`` after the classes that new links connect have become one, named by the smallest label.
+
+    Works on labels, of which the new links touch few: neighbours' labels and jumps, until nothing changes.
+    """
+    small = lambda df: in_tables(df, free=False)
+    side = lambda k: labels.select(F.col("node").alias(f"n_{k}"), F.col("label").alias(k))
+    edges = links.join(side("x"), F.col("a") == F.col("n_x")).join(side("y"), F.col("b") == F.col("n_y")).where("x <> y").select("x", "y")
+    both = small(edges.union(edges.select("y", "x")).distinct())
+    found = small(both.select(F.col("x").alias("was")).distinct().withColumn("now", F.col("was")))
+    moved = True
+    while moved:
+        near = both.join(found, both["y"] == found["was"]).groupBy("x").agg(F.min("now").alias("near"))
+        step = small(found.join(near, found["was"] == near["x"]).select("was", F.col("now").alias("old"), F.least("now", "near").alias("now")))
+        ahead = step.select(F.col("was").alias("w"), F.col("now").alias("jump"))
+        after = small(step.join(ahead, step["now"] == ahead["w"]).select("was", F.least("now", "jump").alias("now"), (F.least("now", "jump") < F.col("old")).alias("moved")))
+        drop(found, step)
+        found, moved = after, not after.where("moved").isEmpty()
+    out = in_tables(labels.join(found, labels["label"] == found["was"], "left").select("node", F.coalesce("now", "label").alias("label")))
+    drop(both, found, labels)
+    return out
+
+
+def marked(rows: DataFrame, column: str) -> np.ndarray:
+    """Bits at the places, modulo a fixed number, of the values of a column: what has no bit is not among them.
+
+    The table is the same size however many values there are; it spares texts that nobody asks for a shuffle.
+    """
+    place = F.pmod(column, F.lit(MARKS)) + 1  # these functions count from 1
+    parts = rows.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in parts.collect():  # MARKS bits in all
+        at = (r["part"] - 1) * 4096
+        out[at:at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
-def _fits(n: str, m: str) -> str:
-    return f"5 * least({n}, {m}) >= 4 * greatest({n}, {m})"
+def _fits(n: str, m: str, i: str, j: str) -> str:
+    """Whether sets of these sizes can be similar if the shingle at places ``i`` and ``j`` is the first that they share."""
+    return f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) and 9 * least({n} - {i}, {m} - {j}) >= 4 * ({n} + {m})"
 
 
-def similar_classes(docs: DataFrame, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+def similar_classes(docs: DataFrame, worth: float = WORTH, cells: int = CELLS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: every text with the smallest id of its class.
 
     Null texts and texts without words have no shingles and are linked with nothing. Rows with one id are rows of their own.
-    Shingles and sets are told apart by hashes of 64 bits.
+    Shingles and sets are told apart by hashes of 64 bits. ``worth`` is the share of tested pairs that have to be similar for one
+    more round with leaders; it and ``cells`` change the plan, never the classes.
     """
     docs = documents(docs)
-    named, counters = named_sets(docs)
-    front = fronts(docs, counters)
-    shared = in_tables(front.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(F.col("token").alias("t")))
-    lists = in_tables(front.join(shared, front["token"] == shared["t"], "left_semi").groupBy("token", "node", "n").agg(F.lit(1)).select("token", "node", "n"))
+    front = in_tables(fronts(docs, shingle_levels(docs, cells)))
+    named = in_tables(named_sets(docs))
+    shared = front.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(F.col("token").alias("t"))
+    lists = in_tables(front.join(shared, front["token"] == shared["t"], "left_semi").groupBy("token", "node", "n", "place").agg(F.lit(1)).select(*front.columns))
+    drop(front)
     nodes = in_tables(lists.select("node").distinct())
 
     by_node = named.groupBy("node").agg(F.min("doc_id").alias("holder"), F.first("n").alias("n"), F.first("spread").alias("spread"))
     shapes = in_tables(by_node.join(nodes.select(F.col("node").alias("x")), F.col("node") == F.col("x"), "left_semi"))
 
-    def items(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for _, data, bounds in arrays.text_slices(batch.column(1)):
-            hashes, of_text = shingle_sets(data, bounds)
-            raw = hashes.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(set_names(hashes, of_text)),
-                                              pa.array([raw[8 * a:8 * b] for a, b in zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)], pa.binary())],
-                                             names=["node", "items"])
-
     def sets_of(pairs: DataFrame) -> DataFrame:
         """``(node, items)`` of the nodes of the pairs, from one text of each."""
         wanted = pairs.select(F.explode(F.array("q", "c")).alias("w")).distinct()
-        holders = shapes.join(wanted, shapes["node"] == wanted["w"], "left_semi").select("holder").distinct()
-        return docs.join(holders, docs["doc_id"] == holders["holder"], "left_semi").mapInArrow(by_slices(items), "node long, items binary")
+        holders = in_tables(shapes.join(wanted, shapes["node"] == wanted["w"], "left_semi").select(F.col("node").alias("wanted"), "holder").distinct(), free=False)
+        bits = docs.sparkSession.sparkContext.broadcast(marked(holders, "holder"))
 
-    labels = nodes.select("node", F.col("node").alias("label"))
-    tested, links = [], []
-    for turn in range(leader_rounds + 1):
+        def items(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            keys = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array((bits.value[keys % MARKS >> 3] >> (keys % MARKS & 7) & 1).astype(bool)))
+            for row, data, bounds in arrays.text_slices(batch.column(1)):
+                hashes, of_text = shingle_sets(data, bounds)
+                raw = hashes.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, len(bounds) - 1), pa.array(set_names(hashes, of_text)),
+                     pa.array([raw[8 * a:8 * b] for a, b in zip(of_text[:-1].tolist(), of_text[1:].tolist(), strict=True)], pa.binary())],
+                    names=["doc_id", "node", "items"])
+
+        found = docs.mapInArrow(by_slices(items), "doc_id long, node long, items binary")
+        return found.join(holders, (found["doc_id"] == holders["holder"]) & (found["node"] == holders["wanted"]), "left_semi").select("node", "items")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        near = in_tables(possible(pairs, shapes))
+        sets = in_tables(sets_of(near))
+        found = in_tables(similar(near, sets))
+        drop(near, sets)
+        return found
+
+    labels, tested, found = in_tables(nodes.select("node", F.col("node").alias("label"))), 0, 1
+    for turn in count_up():
         own = labels.select(F.col("node").alias("x"), "label")
-        members = in_tables(lists.join(own, lists["node"] == own["x"]).select("token", "node", "n", "label"))
-        order = F.xxhash64("node", F.lit(turn))
-        heads = members.groupBy(F.col("token").alias("t")).agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi"), *[F.min_by(c, order).alias(f"l_{c}") for c in ("node", "n", "label")]).where("lo < hi")
-        if turn < leader_rounds:
-            met = members.join(heads, members["token"] == heads["t"]).where("label <> l_label and " + _fits("n", "l_n"))
-            pairs = met.select(F.col("l_node").alias("q"), F.col("node").alias("c"))
+        members = in_tables(lists.join(own, lists["node"] == own["x"]).select(*lists.columns, "label"))
+        by_token = members.groupBy(F.col("token").alias("t"))
+        ends = [F.min("label").alias("lo"), F.max("label").alias("hi")]
+        leads = found > worth * tested
+        if leads:
+            order = F.xxhash64("node", F.lit(turn))
+            heads = by_token.agg(*ends, *[F.min_by(c, order).alias(f"l_{c}") for c in ("node", "n", "place", "label")]).where("lo < hi")
+            met = members.join(heads, members["token"] == heads["t"]).where("label <> l_label and " + _fits("n", "l_n", "place", "l_place"))
+            pairs = met.groupBy(F.col("node").alias("c")).agg(F.min_by("l_node", F.xxhash64("l_node", F.lit(turn))).alias("q")).select("q", "c")
         else:
-            mixed = heads.select("t")
-            left = members.join(mixed, members["token"] == mixed["t"], "left_semi")
-            right = left.select(F.col("token").alias("t2"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            met = left.join(right, left["token"] == right["t2"]).where("node < node2 and label <> label2 and " + _fits("n", "n2"))
-            pairs = met.select(F.col("node").alias("q"), F.col("node2").alias("c"))
-        pairs = pairs.distinct()
-        for done in tested:
-            pairs = pairs.join(done.select(F.least("q", "c").alias("q1"), F.greatest("q", "c").alias("c1")),
-                               (F.least("q", "c") == F.col("q1")) & (F.greatest("q", "c") == F.col("c1")), "left_anti")
+            mixed = by_token.agg(*ends).where("lo < hi").select("t")
+            left = in_tables(members.join(mixed, members["token"] == mixed["t"], "left_semi"))
+            right = left.select(F.col("token").alias("t2"), *[F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "label")])
+            met = left.join(right, left["token"] == right["t2"]).where("node < node2 and label <> label2 and " + _fits("n", "n2", "place", "place2"))
+            pairs = met.select(F.col("node").alias("q"), F.col("node2").alias("c")).distinct()
         pairs = in_tables(pairs)
-        tested.append(pairs)
-        near = in_tables(possible(pairs, shapes))
-        links.append(in_tables(similar(near, in_tables(sets_of(near)))))
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        labels = components(nodes, every)
+        tested = pairs.count()
+        links = links_of(pairs)
+        found = links.count()
+        drop(members, pairs)
+        labels = joined_classes(labels, links)
+        drop(links)
+        if not leads:
+            break
 
     own = labels.select(F.col("node").alias("x"), "label")
     classed = in_tables(named.join(own, named["node"] == own["x"], "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label")))
+    drop(named, lists, shapes)
     first = classed.where("n > 0").groupBy(F.col("label").alias("y")).agg(F.min("doc_id").alias("first"))
     return classed.join(first, (classed["label"] == first["y"]) & (classed["n"] > 0), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.session import run_dir, stored
+from callweave.session import drop_paths, run_dir, stored
 
-__all__ = ["by_slices", "documents", "in_tables", "keep", "release", "stored", "table"]
+__all__ = ["by_slices", "documents", "drop", "in_tables", "keep", "release", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,17 +43,26 @@ def by_slices(work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Cal
     return run
 
 
-def in_tables(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again; shuffles that only it needed may then go."""
+def in_tables(df: DataFrame, free: bool = True) -> DataFrame:
+    """``df`` written to the shared folder and read again; with ``free``, shuffles that only it needed go at once."""
     spark = df.sparkSession
     path = run_dir(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._callweave_table = path
     del df
-    release(spark)
+    if free:
+        release(spark)
     return out
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of :func:`in_tables` that nothing reads any more."""
+    for df in tables:
+        if path := df.__dict__.pop("_callweave_table", None):
+            drop_paths(df.sparkSession, [path])
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner see which shuffles and broadcasts nothing refers to any more, so that their files go."""
     gc.collect()

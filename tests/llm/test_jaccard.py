@@ -64,11 +64,11 @@ def corpus(seed):
     return list(enumerate(texts, 7))
 
 
-@pytest.mark.parametrize("seed,rounds", [(1, 2), (2, 0), (3, 1)])
-def test_equals_all_pairs(spark, seed, rounds):
+@pytest.mark.parametrize("seed,worth,cells", [(1, 0.1, 1 << 16), (2, 2.0, 1 << 10), (3, 0.0, 16)])
+def test_equals_all_pairs(spark, seed, worth, cells):
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, node string, n int").repartition(4)
-    assert sorted(map(tuple, jaccard.similar_classes(docs, rounds).collect())) == brute(rows)
+    assert sorted(map(tuple, jaccard.similar_classes(docs, worth, cells).collect())) == brute(rows)
 
 
 def test_table_equals_all_pairs(spark, sf_dir):
@@ -118,6 +118,28 @@ def test_chains_are_one_class(spark):
     assert sorted(map(tuple, jaccard.similar_classes(docs).collect())) == brute(rows)
 
 
+def test_different_words_with_equal_sums_of_powers(spark):
+    """The Thue-Morse word and its complement: their sums of powers are equal modulo 2^64, whatever the letters stand for."""
+    one, two = ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1))
+    rows = [(1, f"q r s {one} t u v"), (2, f"q r s {two} t u v"), (3, one), (4, two), (5, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.similar_classes(docs).collect())) == brute(rows) == [(1, 3, 1), (2, 3, 2), (3, 1, 3), (4, 1, 4), (5, 1, 3)]
+
+
+def test_passage_shared_by_all(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([5, 30, 200]))) + " " + passage) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, jaccard.similar_classes(docs).collect())) == brute(rows)
+
+
+def test_levels_are_exact_counts(spark):
+    docs = spark.createDataFrame([(i, "a b c d e" if i < 9 else f"x{i} b c d e") for i in range(12)] + [(20, None)], "doc_id long, text string").repartition(3)
+    levels = jaccard.shingle_levels(docs, 1 << 20)
+    assert sorted(levels[levels > 0].tolist()) == [3]
+
+
 def test_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (None, "x"), (9, None)], "doc_id long, text string")
     assert sorted(map(tuple, jaccard.similar_classes(docs).collect())) == [(3, 2, 3), (5, 2, 3), (5, 2, 3), (9, 0, 9)]
