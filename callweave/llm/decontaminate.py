@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,13 +206,12 @@ def grams_all(words: np.ndarray, size: int) -> np.ndarray:
     return arrays.span_hash(arrays.prefix_hash(words), at, at + size)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, overlap: float = OVERLAP, at_once: int = ITEMS_AT_ONCE,
-                 shard_items: int = SHARD) -> DataFrame:
-    """Texts and the test items that they hold: the best passage of each pair.
+def indexes(benchmark: DataFrame, at_once: int = ITEMS_AT_ONCE, shard_items: int = SHARD) -> Iterator[Broadcast]:
+    """Shards of some thousand items each, on the executors.
 
-    ``benchmark`` is ``(item_id, text)``. Items without words match nothing, repeated ones count once. Null texts hold nothing.
+    ``benchmark`` is ``(item_id, text)``. Items without words match nothing, repeated ones count once.
     """
-    spark = docs.sparkSession
+    spark = benchmark.sparkSession
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     shares = max(1, -(-wanted.count() // at_once))
     items = in_tables(wanted.withColumn("share", F.pmod(F.xxhash64("item_id", "text"), F.lit(shares))))
@@ -234,16 +234,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE
     terms = in_tables(items.select("item_id", "text", "share").mapInArrow(by_slices(terms_of), "term long, share long, words long, items long"))
     total, words = terms.agg(F.sum("items"), F.sum("words")).first()
     often = in_tables(terms.groupBy(F.col("term").alias("t")).agg(F.count("*").alias("n")))
-    texts = documents(docs)
-    out = spark.createDataFrame([], FOUND)
     for share in range(shares if total else 0):
         rows = [(r["item_id"], r["text"]) for r in items.where(F.col("share") == share).orderBy("item_id", "text").collect()]  # about at_once
         own = terms.where(F.col("share") == share).select("term").distinct()
         idf = {r["t"] % 2**64: float(np.log(1 + (total - r["n"] + 0.5) / (r["n"] + 0.5)))
                for r in often.join(own, often["t"] == own["term"], "left_semi").collect()}
         rows = [r for r in rows if len(_hashes(r[1]))]
-        shards = spark.sparkContext.broadcast([build(rows[a:a + shard_items], idf, words / total) for a in range(0, len(rows), shard_items)])
+        yield spark.sparkContext.broadcast([build(rows[a:a + shard_items], idf, words / total) for a in range(0, len(rows), shard_items)])
 
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, overlap: float = OVERLAP, at_once: int = ITEMS_AT_ONCE,
+                 shard_items: int = SHARD) -> DataFrame:
+    """Texts and the test items that they hold: the best passage of each pair. Null texts hold nothing."""
+    texts = documents(docs)
+    out = docs.sparkSession.createDataFrame([], FOUND)
+    for shards in indexes(benchmark, at_once, shard_items):
         def work(batch: pa.RecordBatch, shards=shards) -> Iterator[pa.RecordBatch]:
             keys = batch.column(0).to_numpy()
             for row, data, bounds in arrays.text_slices(batch.column(1)):
@@ -258,3 +263,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE
     best = F.struct(F.col("score"), (-F.col("first_word")).alias("earlier"), "question_overlap", "answer_overlap")
     return out.groupBy("doc_id", "item_id").agg(F.max(best).alias("b"), F.count("*").alias("n_passages")).select(
         "doc_id", "item_id", "n_passages", (-F.col("b.earlier")).alias("first_word"), "b.score", "b.question_overlap", "b.answer_overlap")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, overlap: float = OVERLAP) -> DataFrame:
+    """The rows of ``docs``, all their columns as they are, whose texts hold no test item. Texts are not shuffled."""
+    for shards in indexes(benchmark):
+        def work(batch: pa.RecordBatch, shards=shards) -> Iterator[pa.RecordBatch]:
+            keep = np.ones(batch.num_rows, bool)
+            for row, data, bounds in arrays.text_slices(batch.column("text")):
+                hashes, of_text = hashed_words(data, bounds)
+                for s in shards.value if len(hashes) else ():
+                    for d, *_ in matches(s, hashes, of_text, threshold, overlap):
+                        keep[row + d] = False
+            yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(by_slices(work), docs.schema)
+    return docs

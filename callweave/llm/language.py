@@ -153,30 +153,51 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     return fit(np.stack([np.frombuffer(r["x"], np.float16) for r in chosen]), [r["lang"] for r in chosen])
 
 
+def _told(m: Model, data: np.ndarray, bounds: np.ndarray, letters: np.ndarray, least_gap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(name, score, ambiguous)`` of some texts."""
+    n = len(bounds) - 1
+    name, score, ambiguous = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, bool)
+    own = np.flatnonzero(letters)
+    if m.languages and len(own):
+        s = m.scores(features(data, bounds)[own])
+        best = s.argmax(1)
+        name[own], score[own] = np.array(m.languages, object)[best], np.minimum(s.max(1), 1)
+        if len(m.languages) > 1:
+            two = np.sort(s, 1)[:, -2:]
+            ambiguous[own] = two[:, 1] - two[:, 0] < least_gap
+    return name, score, ambiguous
+
+
 def predict(docs: DataFrame, model: Model, least_gap: float = LEAST_GAP) -> DataFrame:
     """Language, score and ambiguity of every text. Null texts and those without a letter are ``und`` with score 0."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        m = held.value
         letters = batch.column(2).to_numpy(zero_copy_only=False)
         for row, data, bounds in arrays.text_slices(batch.column(1), rows=256):
             n = len(bounds) - 1
-            name, score, ambiguous = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, bool)
-            own = np.flatnonzero(letters[row:row + n])
-            if m.languages and len(own):
-                s = m.scores(features(data, bounds)[own])
-                best = s.argmax(1)
-                name[own], score[own] = np.array(m.languages, object)[best], np.minimum(s.max(1), 1)
-                if len(m.languages) > 1:
-                    two = np.sort(s, 1)[:, -2:]
-                    ambiguous[own] = two[:, 1] - two[:, 0] < least_gap
+            name, score, ambiguous = _told(held.value, data, bounds, letters[row:row + n], least_gap)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(name, pa.string()), pa.array(score), pa.array(ambiguous)],
                                              names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     return _with_letters(docs).mapInArrow(by_slices(rows), PREDICTED)
 
 
+def told(docs: DataFrame, model: Model, least_gap: float = LEAST_GAP) -> DataFrame:
+    """The rows of ``docs``, all their columns as they are, with an id and a text whose language can be told. Texts are not shuffled."""
+    held, letters = docs.sparkSession.sparkContext.broadcast(model), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        flags = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+        keep = np.zeros(batch.num_rows, bool)
+        for row, data, bounds in arrays.text_slices(batch.column("text"), rows=256):
+            name, _, ambiguous = _told(held.value, data, bounds, flags[row:row + len(bounds) - 1], least_gap)
+            keep[row:row + len(name)] = (name != UNKNOWN) & ~ambiguous
+        yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(keep))
+
+    return docs.where("doc_id is not null").withColumn("__letters", letters).mapInArrow(by_slices(rows), docs.schema)
+
+
 def held_out() -> Column:
     """Rows that no model learns from: a quarter of all ids."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2

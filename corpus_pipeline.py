@@ -8,38 +8,59 @@ first stage. A null text has no language and goes there too.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from callweave.llm import decontaminate, jaccard, language, packing, pii
-from callweave.llm.tables import keep, stored, table
+from callweave.llm.tables import keep, release, stored, table
+from callweave.session import drop_paths, written_paths
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+_left: list[str] = []  # tables that the stage before has left
+
+
+def stage(fn: Stage) -> Stage:
+    """A stage whose tables go when the next one begins. By then its rows are written and read again."""
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_paths(spark, _left)
+        _left.clear()
+        before = set(written_paths())
+        out = fn(spark, docs, sf_dir)
+        _left.extend(p for p in written_paths() if p not in before)
+        release(spark)
+        return out
+    return run_stage
+
+
+@stage
 def told_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts whose language can be told: those with letters whose two nearest codewords are not about equally near."""
-    model = language.learn(docs.where(~language.held_out()))
-    found = language.predict(docs, model)
-    return keep(docs, found.where(f"lang_pred <> '{language.UNKNOWN}' and not ambiguous").select("doc_id"))
+    return language.told(docs, language.learn(docs.where(~language.held_out())))
 
 
+@stage
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the text with the smallest id of each class of copies and near copies."""
     return keep(docs, jaccard.similar_classes(docs).where("doc_id = component_id").select("doc_id"))
 
 
+@stage
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that hold a test item's question and answer."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct().toDF("__found_id")
-    return docs.join(found, docs["doc_id"] == found["__found_id"], "left_anti")
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def with_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put pseudonyms in the place of personal data. No row goes."""
     return pii.pseudonymise(docs)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining texts and their places in sequences of 1,024 tokens."""
     return packing.pack(docs)

@@ -63,7 +63,7 @@ def leaks(text, bench):
 
 def test_stages_are_those_asked_for():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_all_but_the_last_keep_the_columns(stages):
@@ -129,8 +129,10 @@ def test_extra_columns_and_odd_rows(spark, sf_dir):
             (4, "", "en", "s", 0, None), (5, "the cat and the dog are in the garden now", "en", "s", 1, "q")]
     schema = "doc_id long, text string, lang string, source string, n_chars long, label string"
     docs = spark.createDataFrame(rows, schema).withColumnRenamed("label", "component_id")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = run_dir(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
         assert docs.columns[-1] == "component_id"
     assert sorted(r["doc_id"] for r in docs.collect()) == [1, 2, 2]
     empty = spark.createDataFrame([], schema)
