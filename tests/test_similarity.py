@@ -143,3 +143,19 @@ def test_substring_lookup_is_exact(spark):
         hits = [i for i, n, p, e in people if (n and q.lower() in n.lower()) or q in p or q.lower() in e.lower()]
         expected += [(call, q, i, n + 1) for n, i in enumerate(hits[:5])]
     assert sorted(tuple(r) for r in find_by_substring(mentions, customers, 5).collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("block", [8, 1000])
+def test_best_of_many_copies(spark, block):
+    """All vectors tie: the smallest ids win, whatever the block that holds them."""
+    df = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(90)], "id long, v array<double>").repartition(6)
+    out = sim.vector_similarity_join(df, df, "id", "id", "v", "v", 0.5, k=3, block=block, pivots=4)
+    assert sorted((r[0], r[1]) for r in out.collect()) == [(i, i % 2 + 2 * n) for i in range(90) for n in range(3)]
+
+
+def test_blocks_are_not_shuffled_to_each_other(spark, sf_dir):
+    """Tasks read the blocks that they compare; no pair is joined with texts afterwards."""
+    import __spark_entry__ as entry
+    for name in ("a1_issue_similarity", "a2_vector_similarity", "p9_score_bands"):
+        text = plan(entry.queries()[name](spark, sf_dir))
+        assert "MapInArrow" in text and "Exchange" not in text and "Join Inner" not in text.split("== Physical Plan ==")[1].replace("CartesianProduct", ""), name
