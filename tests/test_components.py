@@ -42,3 +42,10 @@ def test_patterns_across_products(spark):
     out = sorted((r["pattern"], r["products"], r["customers"], r["open_cases"], r["closed_cases"], r["top_priority"], r["flagged"])
                  for r in defect_patterns(cases, 2, pairs).collect())
     assert out == [("C-1", 2, 2, 2, 1, "HIGH", True), ("C-4", 1, 1, 1, 0, "MEDIUM", False)]
+
+
+def test_patterns_by_ids_of_texts(spark):
+    cases = spark.createDataFrame([("C-1", 1, 10, "OPEN", "LOW", "a"), ("C-2", 2, 11, "OPEN", "HIGH", "b"), ("C-3", 3, 11, "OPEN", "LOW", "c")],
+                                  "case_number string, customer_id long, product_id long, status string, priority string, issue_description string").withColumn("case_type", F.lit("DEFECT"))
+    pairs = spark.createDataFrame([("a", "b")], "l string, r string").select(F.sha2("l", 256).alias("left_id"), F.sha2("r", 256).alias("right_id"))
+    assert sorted((r["pattern"], r["customers"]) for r in defect_patterns(cases, 2, pairs).collect()) == [("C-1", 2), ("C-3", 1)]
