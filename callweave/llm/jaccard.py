@@ -9,6 +9,8 @@ share a front shingle give candidates:
 * rounds with leaders: each list that holds more than one class has a leader, and every node meets one leader, of the lists of
   which it is a member. That is one pair for each node, however large a group of near copies is. There is another round as long
   as three of ten pairs are similar;
+* rounds for crowded lists, those that still hold very many classes: a node meets a fixed number of leaders of one of its crowded
+  lists, so pairs grow with the nodes. There is another one as long as some of the pairs are similar;
 * a last round with all pairs of nodes of a list that are still in different classes.
 
 Pairs only meet at a shingle that can be the first that they share, by their sizes and its places in both orders. A pair of similar
@@ -38,6 +40,9 @@ from callweave.llm.tables import by_slices, documents, drop, in_tables
 
 SHINGLE = 5
 WORTH = 0.3  # of the pairs tested in a round with leaders that are similar, for another such round
+CROWD = 64  # classes of a list that make it crowded
+LEADERS = 32  # of a crowded list, for each of its nodes
+CROWD_WORTH = 0.01  # of the pairs tested in a crowded round that are similar, for another such round
 CELLS = 1 << 24  # of the hash range, a byte each, for how common shingles are
 RANGE = 1 << 19  # shingles that are counted together
 RUN = 1 << 20  # shingles of a sorted run
@@ -334,18 +339,34 @@ def similar_classes(docs: DataFrame, worth: float = WORTH, cells: int = CELLS) -
         drop(near, sets)
         return found
 
-    labels, tested, found = in_tables(nodes.select("node", F.col("node").alias("label"))), 0, 1
+    labels, tested, found, last = in_tables(nodes.select("node", F.col("node").alias("label"))), 0, 1, False
+    crowding = False
     for turn in count_up():
         own = labels.select(F.col("node").alias("x"), "label")
         members = in_tables(lists.join(own, lists["node"] == own["x"]).select(*lists.columns, "label"))
         by_token = members.groupBy(F.col("token").alias("t"))
         ends = [F.min("label").alias("lo"), F.max("label").alias("hi")]
-        leads = found > worth * tested
+        leads = not crowding and found > worth * tested
+        if not leads:
+            classes = members.groupBy(F.col("token").alias("t"), "label").agg(F.lit(1).alias("one")).groupBy("t").agg(F.count("*").alias("classes"))
+            crowded = in_tables(classes.where(F.col("classes") > CROWD).select("t"))
+            last = crowding and found <= CROWD_WORTH * tested or crowded.isEmpty()
+            crowding = True
         if leads:
             order = F.xxhash64("node", F.lit(turn))
             heads = by_token.agg(*ends, *[F.min_by(c, order).alias(f"l_{c}") for c in ("node", "n", "place", "label")]).where("lo < hi")
             met = members.join(heads, members["token"] == heads["t"]).where("label <> l_label and " + _fits("n", "l_n", "place", "l_place"))
             pairs = met.groupBy(F.col("node").alias("c")).agg(F.min_by("l_node", F.xxhash64("l_node", F.lit(turn))).alias("q")).select("q", "c")
+        elif not last:
+            # Sets of one size can be similar by a shingle only if its place is within a ninth of them.
+            inside = in_tables(members.where("9 * place <= n").join(crowded, members["token"] == crowded["t"], "left_semi"))
+            order = F.xxhash64("node", F.lit(turn))
+            heads = inside.groupBy(F.col("token").alias("t"), F.pmod(order, F.lit(LEADERS)).alias("nth")).agg(
+                *[F.min_by(c, order).alias(f"l_{c}") for c in ("node", "n", "place", "label")])
+            one = inside.groupBy("node", "n", "label").agg(F.min_by(F.struct("token", "place"), F.xxhash64("token", F.lit(turn))).alias("own")).select(
+                "node", "n", "label", "own.*")
+            met = one.join(heads, one["token"] == heads["t"]).where("label <> l_label and " + _fits("n", "l_n", "place", "l_place"))
+            pairs = met.select(F.col("l_node").alias("q"), F.col("node").alias("c")).distinct()
         else:
             mixed = by_token.agg(*ends).where("lo < hi").select("t")
             left = in_tables(members.join(mixed, members["token"] == mixed["t"], "left_semi"))
@@ -359,7 +380,7 @@ def similar_classes(docs: DataFrame, worth: float = WORTH, cells: int = CELLS) -
         drop(members, pairs)
         labels = joined_classes(labels, links)
         drop(links)
-        if not leads:
+        if last:
             break
 
     own = labels.select(F.col("node").alias("x"), "label")

@@ -144,3 +144,22 @@ def test_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (None, "x"), (9, None)], "doc_id long, text string")
     assert sorted(map(tuple, jaccard.similar_classes(docs).collect())) == [(3, 2, 3), (5, 2, 3), (5, 2, 3), (9, 0, 9)]
     assert jaccard.similar_classes(docs.limit(0)).count() == 0
+
+
+def test_crowded_lists_make_few_pairs(spark, monkeypatch):
+    """Most texts of a large group of near copies are one class before all pairs of classes meet, and no link is lost."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for k in rng.sample(range(150), rng.choice([1, 2, 2, 2, 2, 2])):
+            words[k] = f"new{i}-{k}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked, possible = [], jaccard.possible
+    monkeypatch.setattr(jaccard, "possible", lambda pairs, shapes: (asked.append(pairs.count()), possible(pairs, shapes))[1])
+    monkeypatch.setattr(jaccard, "CROWD", 8)
+    monkeypatch.setattr(jaccard, "LEADERS", 8)
+    assert sorted(map(tuple, jaccard.similar_classes(docs, 2.0, 1 << 12).collect())) == brute(rows)
+    assert max(asked) < 150 * 149 / 4, asked  # half of all pairs
