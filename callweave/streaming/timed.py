@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo
 
 from callweave.functions.text import missing
 from callweave.operators.events import CLEARS_CALL, STARTS, page
@@ -27,6 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LAST = "call_id string, type string, page bigint, seq bigint, payload string"
 STATE = "call_id string, state string"
 _LATE = 2**62
+BUCKETS = 1 << 12  # of calls whose small slots are kept together
 
 
 class _Timed(StatefulProcessor):
@@ -107,7 +109,29 @@ def _frame(points: list[tuple]) -> pd.DataFrame:
     return frame.astype({"chunk_number": "Int64", "started_at": "Int64", "updated_at": "Int64"})
 
 
-class _Lifecycle(_Timed):
+class _Slots(_Timed):
+    """Small slots of all calls of a bucket, one map entry each: a call costs one read and one write, and frames, timers and keys
+    are paid once for a bucket. The bucket's timer is at or before the first time at which one of its calls is due."""
+
+    def fold(self, rows: Iterator[pd.DataFrame], change: Callable[[dict, tuple], None]) -> dict[str, object]:
+        """Rows folded by call, each by ``change`` of its call's dictionary."""
+        found: dict[str, dict] = {}
+        for frame in rows:
+            for row in zip(*(frame[c] for c in frame.columns if c not in ("bucket", "ts", "event_time"))):
+                change(found.setdefault(row[0], {}), row[1:])
+        return found
+
+    def wake(self, due: int | None) -> None:
+        if due is not None and not any(old <= due for old in list(self.handle.listTimers())):
+            self.timer(due)
+
+    def wake_again(self, due: int | None, expired: ExpiredTimerInfo) -> None:
+        """After a timer, which Spark drops itself, the next one."""
+        if due is not None and due not in (expired.getExpiryTimeInMs(), *self.handle.listTimers()):
+            self.handle.registerTimer(due)
+
+
+class _Lifecycle(_Slots):
     """The last numbers of what starts, stops, completes and resets a call. A call that plays is STOPPED after a silence; the slot
     goes one ``keep`` later."""
 
@@ -116,7 +140,8 @@ class _Lifecycle(_Timed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slot = handle.getValueState("slot", "started bigint, stopped bigint, completed bigint, reset bigint, latest bigint, silent boolean")
+        self.slots = handle.getMapState("slots", "call_id string",
+                                        "started bigint, stopped bigint, completed bigint, reset bigint, latest bigint, silent boolean")
 
     @staticmethod
     def _state(started: int, stopped: int, completed: int, reset: int, silent: bool) -> str:
@@ -128,79 +153,100 @@ class _Lifecycle(_Timed):
             return "COMPLETE"
         return ("STOPPED" if silent else "PLAYING") if started >= 0 else "IDLE"
 
+    @staticmethod
+    def _change(found: dict, row: tuple) -> None:
+        kind, seq, at = row
+        place = 0 if kind in STARTS else {"call_ended": 1, "playback_ended": 2, "app_reset": 3}.get(kind)
+        if place is not None:
+            found[place] = max(found.get(place, -1), int(seq))
+        found[4] = max(found.get(4, 0), int(at) // 1000)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        slot = list(self.slot.get()) if self.slot.exists() else [-1, -1, -1, -1, 0, False]
-        for frame in rows:
-            for kind, seq, at in zip(frame["type"], frame["seq"], frame["at"]):
-                place = 0 if kind in STARTS else {"call_ended": 1, "playback_ended": 2, "app_reset": 3}.get(kind)
-                if place is not None:
-                    slot[place] = max(slot[place], int(seq))
-                slot[4] = max(slot[4], int(at) // 1000)
-        slot[5] = False
-        self.slot.update(tuple(slot))
-        self.timer(slot[4] + self.silence_ms)
-        yield pd.DataFrame({"call_id": [key[0]], "state": [self._state(*slot[:4], False)]})
+        out, due = [], None
+        for call, found in self.fold(rows, self._change).items():
+            slot = list(self.slots.getValue((call,)) or (-1, -1, -1, -1, 0, False))
+            for place, value in found.items():
+                slot[place] = max(slot[place], value)
+            slot[5] = False
+            self.slots.updateValue((call,), tuple(slot))
+            due = slot[4] + self.silence_ms if due is None else min(due, slot[4] + self.silence_ms)
+            out.append((call, self._state(*slot[:4], False)))
+        self.wake(due)
+        yield pd.DataFrame(out, columns=["call_id", "state"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        slot = self.slot.get()
-        if slot[5]:
-            self.slot.clear()
-            return
-        self.slot.update((*slot[:5], True))
-        self.handle.registerTimer(slot[4] + self.silence_ms + self.keep_ms)
-        before, after = (self._state(*slot[:4], silent) for silent in (False, True))
-        if before != after:
-            yield pd.DataFrame({"call_id": [key[0]], "state": [after]})
-
-
-class _LastEvents(_Timed):
+        now, out, due = timerValues.getCurrentWatermarkInMs(), [], None
+        for call, slot in list(self.slots.iterator()):
+            quiet, ends = slot[4] + self.silence_ms, slot[4] + self.silence_ms + self.keep_ms
+            if quiet < now and not slot[5]:
+                if self._state(*slot[:4], False) != self._state(*slot[:4], True):
+                    out.append((call[0], self._state(*slot[:4], True)))
+                if ends >= now:
+                    self.slots.updateValue(call, (*slot[:5], True))
+            if ends < now:
+                self.slots.removeKey(call)
+            else:
+                next_due = ends if quiet < now else quiet
+                due = next_due if due is None else min(due, next_due)
+        self.wake_again(due, expiredTimerInfo)
+        if out:
+            yield pd.DataFrame(out, columns=["call_id", "state"])
+
+
+class _LastEvents(_Slots):
     """The last event of each type and page of a call. What a call's start or a reset clears leaves the memory at once, the rest
-    after a silence."""
+    after a silence. The memory holds numbers: payloads are in the output table."""
 
     def __init__(self, silence_ms: int):
         self.silence_ms = silence_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getMapState("last", "type string, page bigint", "seq bigint, payload string")
-        self.latest = handle.getValueState("latest", "at bigint, cleared bigint")
+        self.slots = handle.getMapState("slots", "call_id string", "at bigint, cleared bigint, last array<struct<type: string, page: bigint, seq: bigint>>")
+
+    @staticmethod
+    def _change(found: dict, row: tuple) -> None:
+        kind, number, seq, payload, time = row
+        place, value = (kind, int(number)), (int(seq), payload)
+        found[place] = max(found.get(place, value), value, key=lambda v: (v[0], v[1] is not None, v[1]))
+        found[None] = max(found.get(None, 0), int(time) // 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at, cleared = self.latest.get() if self.latest.exists() else (0, -1)
-        best: dict[tuple, tuple] = {}
-        before = cleared
-        for frame in rows:
-            for kind, number, seq, payload, time in zip(frame["type"], frame["page"], frame["seq"], frame["payload"], frame["at"]):
-                place, value = (kind, int(number)), (int(seq), payload)
-                best[place] = max(best.get(place, value), value, key=lambda v: (v[0], v[1] is not None, v[1]))
-                at = max(at, int(time) // 1000)
-                if kind in CLEARS_CALL:
-                    cleared = max(cleared, int(seq))
-        changed = []
-        for place, value in best.items():
-            if value[0] < cleared and place[0] not in CLEARS_CALL:
-                continue
-            if not self.last.containsKey(place) or self.last.getValue(place)[0] <= value[0]:
-                self.last.updateValue(place, value)
-                changed.append((key[0], *place, *value))
-        if cleared > before:
-            for place in [p for p, v in self.last.iterator() if v[0] < cleared and p[0] not in CLEARS_CALL]:
-                self.last.removeKey(place)
-        self.latest.update((at, cleared))
-        self.timer(at + self.silence_ms)
+        changed, due = [], None
+        for call, best in self.fold(rows, self._change).items():
+            at, cleared, held = self.slots.getValue((call,)) or (0, -1, [])
+            last = {(kind, number): seq for kind, number, seq in held}
+            at = max(at, best.pop(None))
+            cleared = max([cleared, *[seq for (kind, _), (seq, _) in best.items() if kind in CLEARS_CALL]])
+            for place, (seq, payload) in best.items():
+                if (seq >= cleared or place[0] in CLEARS_CALL) and last.get(place, seq) <= seq:
+                    last[place] = seq
+                    changed.append((call, *place, seq, payload))
+            self.slots.updateValue((call,), (at, cleared, [(*p, n) for p, n in last.items() if n >= cleared or p[0] in CLEARS_CALL]))
+            due = at + self.silence_ms if due is None else min(due, at + self.silence_ms)
+        self.wake(due)
         if changed:
             yield pd.DataFrame(changed, columns=["call_id", "type", "page", "seq", "payload"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        self.latest.clear()
+        now, due = timerValues.getCurrentWatermarkInMs(), None
+        for call, slot in list(self.slots.iterator()):
+            if slot[0] + self.silence_ms < now:
+                self.slots.removeKey(call)
+            else:
+                due = slot[0] + self.silence_ms if due is None else min(due, slot[0] + self.silence_ms)
+        self.wake_again(due, expiredTimerInfo)
         yield from ()
 
 
-def _run(df: DataFrame, ts: Column, delay: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+def _run(df: DataFrame, ts: Column, delay: str, processor: StatefulProcessor, schema: str, key: str = "call_id") -> DataFrame:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = df.withColumn("event_time", ts).withWatermark("event_time", delay)
-    return timed.groupBy("call_id").transformWithStateInPandas(processor, schema, "Update", "EventTime")
+    return timed.groupBy(key).transformWithStateInPandas(processor, schema, "Update", "EventTime")
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("call_id"), F.lit(BUCKETS)).alias("bucket")
 
 
 def timed_points(chunks: DataFrame, min_chars: int, delay: str, silence_ms: int) -> DataFrame:
@@ -221,15 +267,15 @@ def timed_points(chunks: DataFrame, min_chars: int, delay: str, silence_ms: int)
 def timed_call_state(events: DataFrame, delay: str, silence_ms: int, keep_ms: int) -> DataFrame:
     """Lifecycle states as they change; a playing call that is silent is STOPPED, and its slot goes ``keep_ms`` later."""
     ts = F.col("ts").cast("timestamp")
-    rows = events.select("call_id", "type", "seq", F.unix_micros(ts).alias("at"), "ts")
-    return _run(rows, ts, delay, _Lifecycle(silence_ms, keep_ms), STATE)
+    rows = events.select(_bucket(), "call_id", "type", "seq", F.unix_micros(ts).alias("at"), ts.alias("ts"))
+    return _run(rows, F.col("ts"), delay, _Lifecycle(silence_ms, keep_ms), STATE, "bucket")
 
 
 def timed_last_by_type(events: DataFrame, delay: str, silence_ms: int) -> DataFrame:
     """The last event per call, type and page as it changes. Silent calls leave the memory; their rows are in the output table."""
     ts = F.col("ts").cast("timestamp")
-    rows = events.select("call_id", "type", page().alias("page"), "seq", "payload", F.unix_micros(ts).alias("at"), "ts")
-    return _run(rows, ts, delay, _LastEvents(silence_ms), LAST)
+    rows = events.select(_bucket(), "call_id", "type", page().alias("page"), "seq", "payload", F.unix_micros(ts).alias("at"), ts.alias("ts"))
+    return _run(rows, F.col("ts"), delay, _LastEvents(silence_ms), LAST, "bucket")
 
 
 def route_late(spark: SparkSession, chunks: DataFrame, path: str, schema: str, ts: str, delay_seconds: int,

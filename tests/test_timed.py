@@ -127,3 +127,52 @@ def test_lifecycle_and_its_end(spark, tmp_path, event_rows):
     batch = {r["call_id"]: r["state"] for r in ev.call_state(spark.createDataFrame(event_rows, EVENT)).collect()}
     assert last == {c: "STOPPED" if s == "PLAYING" else s for c, s in batch.items()}
     assert sizes[-1] <= 2 < sizes[1]
+
+
+class _Counted(dict):
+    """A state map that counts what is asked of it."""
+
+    asked = 0
+
+    def getValue(self, k):
+        self.asked += 1
+        return self.get(k)
+
+    def updateValue(self, k, v):
+        self.asked += 1
+        self[k] = v
+
+    def removeKey(self, k):
+        del self[k]
+
+    def iterator(self):
+        return iter(self.items())
+
+
+@pytest.mark.parametrize("processor", [timed._Lifecycle(1000, 500), timed._LastEvents(1000)], ids=["lifecycle", "last"])
+def test_a_bucket_pays_frames_and_timers_once(processor):
+    """Counted: one frame and one timer for all calls of a bucket, a read and a write for each call; all memory ends."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    timers = []
+    processor.slots = _Counted()
+    processor.handle = SimpleNamespace(listTimers=lambda: iter(timers), registerTimer=timers.append, deleteTimer=timers.remove)
+    n = 300
+    frame = pd.DataFrame({"bucket": [7] * n, "call_id": [f"c{i % 100}" for i in range(n)], "type": ["call_started"] * n, "page": [0] * n,
+                          "seq": range(n), "payload": ["{}"] * n, "at": [i * 1_000_000 for i in range(n)]})
+    if isinstance(processor, timed._Lifecycle):
+        frame = frame.drop(columns=["page", "payload"])
+    out = list(processor.handleInputRows((7,), iter([frame.iloc[:150], frame.iloc[150:]]), None))
+    assert [len(f) for f in out] == [100] and processor.slots.asked == 200 and timers == [201_000]
+    stopped = []
+    while timers:
+        due = timers[0]
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: due + 1)
+        stopped += list(processor.handleExpiredTimer((7,), now, SimpleNamespace(getExpiryTimeInMs=lambda: due)))
+        timers.remove(due)
+    assert not processor.slots
+    if isinstance(processor, timed._Lifecycle):
+        rows = pd.concat(stopped)
+        assert sorted(rows["call_id"]) == sorted(f"c{i}" for i in range(100)) and set(rows["state"]) == {"STOPPED"}
