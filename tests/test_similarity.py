@@ -159,3 +159,15 @@ def test_blocks_are_not_shuffled_to_each_other(spark, sf_dir):
     for name in ("a1_issue_similarity", "a2_vector_similarity", "p9_score_bands"):
         text = plan(entry.queries()[name](spark, sf_dir))
         assert "MapInArrow" in text and "Exchange" not in text and "Join Inner" not in text.split("== Physical Plan ==")[1].replace("CartesianProduct", ""), name
+
+
+def test_tokens_are_counted_without_a_shuffle(spark):
+    from collections import Counter
+
+    from callweave.operators.similarity import term_counts
+
+    rows = [("a", "b a B c c C"), ("b", ""), ("c", "..."), ("d", "x"), ("e", "\u00c4 \u00e4 z1 z1")]
+    counts = term_counts(spark.createDataFrame(rows, "text_id string, text string"))
+    want = {(i, w): n for i, t in rows for w, n in Counter(w for w in t.lower().replace(".", "").split()).items()}
+    assert {(r["text_id"], r["token"]): r["tf"] for r in counts.collect()} == want
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
