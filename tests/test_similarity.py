@@ -171,3 +171,16 @@ def test_tokens_are_counted_without_a_shuffle(spark):
     want = {(i, w): n for i, t in rows for w, n in Counter(w for w in t.lower().replace(".", "").split()).items()}
     assert {(r["text_id"], r["token"]): r["tf"] for r in counts.collect()} == want
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_substrings_leave_a_task_as_few_rows(spark, monkeypatch):
+    """Substrings are ranked in each chunk of customers before they are shuffled, and the numbers of tasks grow with the customers."""
+    monkeypatch.setattr("callweave.operators.customers.CUSTOMERS", 50)
+    people = [(i, f"Customer#{i:04d}", f"{i:04d}", f"c{i}@x") for i in range(300)]
+    customers = spark.createDataFrame(people, "customer_id long, name string, phone string, email string")
+    mentions = spark.createDataFrame([("a", "customer#"), ("b", "omer#0"), ("c", "#0299")], "call_id string, mention string")
+    found = find_by_substring(mentions, customers, 2)
+    assert sorted((r["call_id"], r["customer_id"]) for r in found.collect()) == [("a", 0), ("a", 1), ("b", 0), ("b", 1), ("c", 299)]
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [chunk" in text and "LeftSemi" not in text
+    assert text.count(", 7") >= 4
