@@ -184,3 +184,13 @@ def test_shared_substrings_leave_a_task_as_few_rows(spark, monkeypatch):
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [chunk" in text and "LeftSemi" not in text
     assert text.count(", 7") >= 4
+
+
+def test_product_pairs_do_not_travel(spark, sf_dir):
+    """Mentions and lines meet at the customer's key and are scored there: nothing is shuffled by a pair of texts or by two keys."""
+    import re
+
+    import __spark_entry__ as entry
+    text = plan(entry.queries()["j7_match_products"](spark, sf_dir))
+    assert "hashpartitioning(customer_id" in text
+    assert not re.search(r"hashpartitioning\((customer_id#\d+L?, [a-z]|mention#\d+, [a-z]|left_text|product_name#\d+, [a-z])", text)
