@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.session import drop_paths, run_dir, stored
+from callweave.session import drop, release, run_dir, stored
 
 __all__ = ["by_slices", "documents", "drop", "in_tables", "keep", "release", "stored", "table"]
 
@@ -54,17 +52,3 @@ def in_tables(df: DataFrame, free: bool = True) -> DataFrame:
     if free:
         release(spark)
     return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables of :func:`in_tables` that nothing reads any more."""
-    for df in tables:
-        if path := df.__dict__.pop("_callweave_table", None):
-            drop_paths(df.sparkSession, [path])
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner see which shuffles and broadcasts nothing refers to any more, so that their files go."""
-    gc.collect()
-    jvm: Any = spark.sparkContext._jvm
-    jvm.System.gc()

@@ -194,3 +194,18 @@ def test_product_pairs_do_not_travel(spark, sf_dir):
     text = plan(entry.queries()["j7_match_products"](spark, sf_dir))
     assert "hashpartitioning(customer_id" in text
     assert not re.search(r"hashpartitioning\((customer_id#\d+L?, [a-z]|mention#\d+, [a-z]|left_text|product_name#\d+, [a-z])", text)
+
+
+def test_case_tables_go_when_they_are_read(spark):
+    """Of all that a search of cases stores, the best pairs stay."""
+    from callweave.session import written_paths
+    texts = made_texts(40, 5)
+    issues = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "call_id long, issue string")
+    cases = spark.createDataFrame([(f"C{i:03d}", t) for i, t in enumerate(texts)], "case_number string, issue_description string")
+    cases = cases.withColumns({c: F.lit("x") for c in ("customer_name", "product_name", "case_type", "status", "priority", "resolution")}).withColumn(
+        "opened_date", F.lit(None).cast("date"))
+    before = set(written_paths())
+    found = similar_cases(issues, cases, 0.2, 3)
+    left = [p for p in written_paths() if p not in before]
+    assert len(left) == 1
+    assert {r["call_id"] for r in found.collect()} == set(range(40))
