@@ -46,6 +46,7 @@ CROWD_WORTH = 0.01  # of the pairs tested in a crowded round that are similar, f
 CELLS = 1 << 24  # of the hash range, a byte each, for how common shingles are
 RANGE = 1 << 19  # shingles that are counted together
 RUN = 1 << 20  # shingles of a sorted run
+KEY = 48  # bits of a shingle's hash by which it is counted
 MARKS = 1 << 23  # bits that tell which texts may be wanted
 BLOCK = 256  # candidates of one query that are searched together
 PARTS = 128  # of the hash range, for the bound
@@ -96,29 +97,43 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -
     return full | (np.minimum(a, b).astype(np.int64).sum(1) >= required(n, m))
 
 
+def packed(numbers: np.ndarray, width: int) -> bytes:
+    """The ``width`` low bytes of unsigned numbers, first all lowest ones: bytes that are alike stand together, so Spark packs them."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
+
+
+def unpacked(raw: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
 def shingle_levels(docs: DataFrame, cells: int = CELLS) -> np.ndarray:
     """How common shingles are: for each cell of the hash range the level of its commonest shingle, 0 if all stand in one text.
 
-    A shingle in n texts has the level floor(log2 n). Counts are exact and cover all texts: tasks write sorted runs of distinct
+    A shingle in n texts has the level floor(log2 n). Counts cover all texts: tasks write sorted runs of distinct
     shingles with their counts, dealt by ranges of the hash, and the runs of a range are counted together. There are so many
-    ranges that each has about a million shingles. The driver gets the ``cells`` bytes.
+    ranges that each has about a million shingles. A run holds the differences of the first ``KEY`` bits of its hashes; shingles that
+    agree in these are counted as one, so no count is too low. The driver gets the ``cells`` bytes.
     """
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     radix = min(cells, max(16, 1 << (size // 6 // RANGE).bit_length()))
-    shift = 64 - (radix.bit_length() - 1)
+    shift = KEY - (radix.bit_length() - 1)
+    rest = np.uint64(64 - KEY)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def rows() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
+            found, n = np.unique(np.concatenate(held) >> rest, return_counts=True)
             held.clear()
             edges = np.searchsorted(found >> np.uint64(shift), np.arange(radix + 1, dtype=np.uint64)).tolist()
             own = [k for k in range(radix) if edges[k] < edges[k + 1]]
-            raw, counts = found.tobytes(), n.astype("<u4").tobytes()
+            slices = [slice(edges[k], edges[k + 1]) for k in own]
             return pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.int32()), *(pa.array([data[w * edges[k]:w * edges[k + 1]] for k in own], pa.binary()) for data, w in ((raw, 8), (counts, 4)))],
-                names=["part", "found", "n"])
+                [pa.array(own, pa.int32()), pa.array([packed(np.diff(found[s], prepend=np.uint64(0)), KEY // 8) for s in slices], pa.binary()),
+                 pa.array([packed(n[s], 4) for s in slices], pa.binary())], names=["part", "found", "n"])
 
         for batch in batches:
             for _, data, bounds in arrays.text_slices(batch.column(0)):
@@ -130,13 +145,13 @@ def shingle_levels(docs: DataFrame, cells: int = CELLS) -> np.ndarray:
 
     def count(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        found = np.frombuffer(b"".join(table.column("found").to_pylist()), "<u8")
-        n = np.frombuffer(b"".join(table.column("n").to_pylist()), "<u4").astype(np.int64)
+        found = np.concatenate([np.cumsum(unpacked(raw, KEY // 8), dtype=np.uint64) for raw in table.column("found").to_pylist()])
+        n = np.concatenate([unpacked(raw, 4) for raw in table.column("n").to_pylist()]).astype(np.int64)
         order = np.argsort(found, kind="stable")
         found, n = found[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
         level = np.floor(np.log2(np.add.reduceat(n, first))).astype(np.uint8)
-        cell = (found[first] >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64) - part * (cells // radix)
+        cell = (found[first] >> np.uint64(KEY - (cells.bit_length() - 1))).astype(np.int64) - part * (cells // radix)
         out = np.zeros(cells // radix, np.uint8)
         np.maximum.at(out, cell, level)
         return pa.table({"part": pa.array([part], pa.int32()), "levels": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})

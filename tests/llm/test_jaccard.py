@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -163,3 +164,13 @@ def test_crowded_lists_make_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LEADERS", 8)
     assert sorted(map(tuple, jaccard.similar_classes(docs, 2.0, 1 << 12).collect())) == brute(rows)
     assert max(asked) < 150 * 149 / 4, asked  # half of all pairs
+
+
+def test_runs_are_packed_without_loss():
+    rnd = np.random.default_rng(4)
+    keys = np.unique(rnd.integers(0, 1 << jaccard.KEY, 5000, dtype=np.uint64))
+    raw = jaccard.packed(np.diff(keys, prepend=np.uint64(0)), jaccard.KEY // 8)
+    assert np.array_equal(np.cumsum(jaccard.unpacked(raw, jaccard.KEY // 8), dtype=np.uint64), keys)
+    assert len(zlib.compress(raw, 1)) < 6 * len(keys)
+    counts = np.array([1, 2, 70_000, 2**32 - 1])
+    assert jaccard.unpacked(jaccard.packed(counts, 4), 4).tolist() == counts.tolist()
