@@ -2,7 +2,8 @@
 
 A byte-level BPE never joins what its splitting rule separates. That rule always separates before white space that follows
 another character, and between letters and punctuation. So a text's ids are those of its units, cut at such places, and the
-library is asked once for each unit that a worker meets. A unit of letters is one piece for the splitting rule and goes
+library is asked once for each unit that a worker meets. Units of at most 15 bytes are looked up all at once by their bytes, in a table
+with one place for each hash; what it does not hold is looked up in a dictionary. A unit of letters is one piece for the splitting rule and goes
 straight to the library's model; any other goes through the whole tokenizer. Rows of one slice of a batch are handled at a time.
 """
 
@@ -20,7 +21,9 @@ from callweave.llm import arrays
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 CACHED_UNITS = 900_000  # a full cache is begun anew: this changes time, never ids
+TABLE_BITS = 19  # of the places of short units: this changes time, never ids
 
+_SHORT = 15  # bytes
 _ODD = arrays.byte_class(b" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f")
 _LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LETTER = arrays.byte_class(_LETTERS)
@@ -32,6 +35,7 @@ _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _AS_TEXT = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 _SPACE = chr(_AS_TEXT[32])
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of the first bytes of a little-endian number
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -64,6 +68,25 @@ def unit_starts(data: np.ndarray, bounds: np.ndarray, letters: bool = True) -> n
     return np.flatnonzero(first)
 
 
+def _short_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(first eight bytes, next seven and size, place in the table)`` of units. Longer units are
+    never in the table."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    sizes = ends - starts
+    first = eight[starts] & _FIRST[np.minimum(sizes, 8)]
+    second = (eight[starts + 8] & _FIRST[np.clip(sizes - 8, 0, 7)]) | (np.minimum(sizes, _SHORT + 1).astype(np.uint64) << np.uint64(56))
+    place = (arrays.mix(first ^ arrays.mix(second)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return first, second, place
+
+
+def _left(text: bytes, starts: np.ndarray, ends: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Which units are not known, their bytes, and the distinct ones of these."""
+    rest = np.flatnonzero(~known)
+    own = [text[s:e] for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+    return rest, own, list(dict.fromkeys(own))
+
+
 class Encoder:
     """Ids of texts with a memory of the units met so far."""
 
@@ -80,6 +103,9 @@ class Encoder:
         self.offsets = np.zeros(1 << 16, np.int64)
         self.pool = np.empty(1 << 20, np.uint32)
         self.used = 0
+        # Units by the hash of their bytes: the first eight, the next seven and the size, the slot. A size of 0 is a free place.
+        self.first, self.second = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.uint64)
+        self.held = np.zeros(1 << TABLE_BITS, np.int32)
 
     def _learn(self, units: list[bytes]) -> None:
         bpe = self.model.model
@@ -108,13 +134,22 @@ class Encoder:
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(bounds), np.int64)
         ends = np.append(starts[1:], len(data))
-        own = [text[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        units = list(dict.fromkeys(own))  # the bytes themselves are compared, no hash of them
+        first, second, place = _short_keys(data, starts, ends)
+        short = ends - starts <= _SHORT
+        known = short & (self.first[place] == first) & (self.second[place] == second)  # the bytes themselves are compared, no hash of them
+        rest, own, units = _left(text, starts, ends, known)
         if len(self.slots) + len(units) > CACHED_UNITS:
             self._empty()
+            known[:] = False
+            rest, own, units = _left(text, starts, ends, known)
         if new := [u for u in units if u not in self.slots]:
             self._learn(new)
-        slots = np.fromiter(map(self.slots.__getitem__, own), np.int64, len(own))
+        slots = self.held[place].astype(np.int64)
+        slots[rest] = np.fromiter(map(self.slots.__getitem__, own), np.int64, len(own))
+        new_short = rest[short[rest]]
+        at, one = np.unique(place[new_short], return_index=True)  # one unit for each place
+        new_short = new_short[one]
+        self.first[at], self.second[at], self.held[at] = first[new_short], second[new_short], slots[new_short]
         sizes = self.offsets[slots + 1] - self.offsets[slots]
         after = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.repeat(self.offsets[slots] - after[:-1], sizes) + np.arange(after[-1])]

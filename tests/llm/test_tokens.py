@@ -166,3 +166,38 @@ def test_best_fit_uses_each_piece_once():
                 found[x] += n
         assert found == counts
         assert sum(groups.values()) <= -(-sum(k * n for k, n in counts.items()) // 40) + 1 + sum(groups.values()) // 10
+
+
+def test_short_units_met_before_are_looked_up_at_once(monkeypatch):
+    """Neither places that units share, nor a full cache, nor zero bytes at a unit's end change an id."""
+    from callweave.llm import tokens
+
+    rng = np.random.default_rng(5)
+    vocabulary = ["a", "a\0", "a\0\0", "eightlet", "eightlet\0", "fifteenletters!", "sixteenletters!!", "sixteenletterse", "naïve", "日本", "don't", "42", "é"]
+    texts = [" ".join(rng.choice(vocabulary + [f"w{i}" for i in range(400)], 300)) for _ in range(20)] + ["", "\0"]
+    raw = [t.encode() for t in texts]
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    plain = tokens.Encoder()
+    expected = [e.ids for e in plain.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def same(ids, ends):
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == expected
+
+    for bits, cached in ((19, 900_000), (3, 900_000), (19, 50)):
+        monkeypatch.setattr(tokens, "TABLE_BITS", bits)
+        monkeypatch.setattr(tokens, "CACHED_UNITS", cached)
+        encoder = tokens.Encoder()
+        for _ in range(3):
+            same(*encoder.encode(data, bounds))
+    monkeypatch.setattr(tokens, "TABLE_BITS", 19)
+    monkeypatch.setattr(tokens, "CACHED_UNITS", 900_000)
+    encoder = tokens.Encoder()
+    words = np.frombuffer(b"one two three four " * 50, np.uint8)
+    ids, _ = encoder.encode(words, np.array([0, len(words)]))
+
+    class Untouched(dict):
+        def __getitem__(self, key):
+            raise AssertionError(key)
+
+    encoder.slots = Untouched(encoder.slots)
+    assert encoder.encode(words, np.array([0, len(words)]))[0].tolist() == ids.tolist()
