@@ -6,11 +6,11 @@ as a table of fixed size of the commonest in each cell of the hash range: any ta
 this one leaves passages that many texts share out of the fronts of all texts that hold enough else. Lists of the nodes that
 share a front shingle give candidates:
 
-* rounds with leaders: each list that holds more than one class has a leader, and every node meets one leader, of the lists of
-  which it is a member. That is one pair for each node, however large a group of near copies is. There is another round as long
-  as three of ten pairs are similar;
+* rounds with leaders: each list that holds more than one class has a leader, and every node meets a few leaders, of the lists of
+  which it is a member. That is a few pairs for each node, however large a group of near copies is. There is another round as long
+  as seven of ten pairs are similar;
 * rounds for crowded lists, those that still hold very many classes: a node meets a fixed number of leaders of one of its crowded
-  lists, so pairs grow with the nodes. There is another one as long as some of the pairs are similar;
+  lists, so pairs grow with the nodes. There is another one as long as there is a link for one of ten nodes of these lists;
 * a last round with all pairs of nodes of a list that are still in different classes.
 
 Pairs only meet at a shingle that can be the first that they share, by their sizes and its places in both orders. A pair of similar
@@ -32,17 +32,18 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.llm import arrays
 from callweave.llm.tables import by_slices, documents, drop, in_tables
 
 SHINGLE = 5
-WORTH = 0.3  # of the pairs tested in a round with leaders that are similar, for another such round
+WORTH = 0.7  # of the pairs tested in a round with leaders that are similar, for another such round
+MET = 4  # leaders that a node meets in a round with leaders
 CROWD = 64  # classes of a list that make it crowded
 LEADERS = 32  # of a crowded list, for each of its nodes
-CROWD_WORTH = 0.01  # of the pairs tested in a crowded round that are similar, for another such round
+CROWD_WORTH = 0.1  # links of a crowded round for each node of its lists, for another such round
 CELLS = 1 << 24  # of the hash range, a byte each, for how common shingles are
 RANGE = 1 << 19  # shingles that are counted together
 RUN = 1 << 20  # shingles of a sorted run
@@ -276,7 +277,7 @@ def joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
     side = lambda k: labels.select(F.col("node").alias(f"n_{k}"), F.col("label").alias(k))
     edges = links.join(side("x"), F.col("a") == F.col("n_x")).join(side("y"), F.col("b") == F.col("n_y")).where("x <> y").select("x", "y")
     both = small(edges.union(edges.select("y", "x")).distinct())
-    found = small(both.select(F.col("x").alias("was")).distinct().withColumn("now", F.col("was")))
+    found = small(both.groupBy(F.col("x").alias("was")).agg(F.min("y").alias("near")).select("was", F.least("was", "near").alias("now")))
     moved = True
     while moved:
         near = both.join(found, both["y"] == found["was"]).groupBy("x").agg(F.min("now").alias("near"))
@@ -354,7 +355,7 @@ def similar_classes(docs: DataFrame, worth: float = WORTH, cells: int = CELLS) -
         drop(near, sets)
         return found
 
-    labels, tested, found, last = in_tables(nodes.select("node", F.col("node").alias("label"))), 0, 1, False
+    labels, tested, asked, found, last = in_tables(nodes.select("node", F.col("node").alias("label"))), 0, 0, 1, False
     crowding = False
     for turn in count_up():
         own = labels.select(F.col("node").alias("x"), "label")
@@ -365,16 +366,18 @@ def similar_classes(docs: DataFrame, worth: float = WORTH, cells: int = CELLS) -
         if not leads:
             classes = members.groupBy(F.col("token").alias("t"), "label").agg(F.lit(1).alias("one")).groupBy("t").agg(F.count("*").alias("classes"))
             crowded = in_tables(classes.where(F.col("classes") > CROWD).select("t"))
-            last = crowding and found <= CROWD_WORTH * tested or crowded.isEmpty()
+            last = crowding and found <= CROWD_WORTH * asked or crowded.isEmpty()
             crowding = True
         if leads:
             order = F.xxhash64("node", F.lit(turn))
             heads = by_token.agg(*ends, *[F.min_by(c, order).alias(f"l_{c}") for c in ("node", "n", "place", "label")]).where("lo < hi")
             met = members.join(heads, members["token"] == heads["t"]).where("label <> l_label and " + _fits("n", "l_n", "place", "l_place"))
-            pairs = met.groupBy(F.col("node").alias("c")).agg(F.min_by("l_node", F.xxhash64("l_node", F.lit(turn))).alias("q")).select("q", "c")
+            nth = F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("q", F.lit(turn)), "q"))
+            pairs = met.select(F.col("l_node").alias("q"), F.col("node").alias("c")).distinct().withColumn("nth", nth).where(F.col("nth") <= MET).select("q", "c")
         elif not last:
             # Sets of one size can be similar by a shingle only if its place is within a ninth of them.
             inside = in_tables(members.where("9 * place <= n").join(crowded, members["token"] == crowded["t"], "left_semi"))
+            asked = inside.select("node").distinct().count()
             order = F.xxhash64("node", F.lit(turn))
             heads = inside.groupBy(F.col("token").alias("t"), F.pmod(order, F.lit(LEADERS)).alias("nth")).agg(
                 *[F.min_by(c, order).alias(f"l_{c}") for c in ("node", "n", "place", "label")])

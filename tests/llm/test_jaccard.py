@@ -174,3 +174,16 @@ def test_runs_are_packed_without_loss():
     assert len(zlib.compress(raw, 1)) < 6 * len(keys)
     counts = np.array([1, 2, 70_000, 2**32 - 1])
     assert jaccard.unpacked(jaccard.packed(counts, 4), 4).tolist() == counts.tolist()
+
+
+def test_classes_of_single_links_join_in_one_pass(spark, monkeypatch):
+    """The first labels come from the links themselves, so links that do not touch take one pass of two tables."""
+    from callweave.llm import jaccard
+
+    labels = jaccard.in_tables(spark.createDataFrame([(i, i) for i in range(8)], "node long, label long"))
+    links = spark.createDataFrame([(0, 1), (3, 2), (4, 5)], "a long, b long")
+    written, write = [], jaccard.in_tables
+    monkeypatch.setattr(jaccard, "in_tables", lambda *a, **k: (written.append(1), write(*a, **k))[1])
+    out = {r["node"]: r["label"] for r in jaccard.joined_classes(labels, links).collect()}
+    assert out == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 7}
+    assert len(written) == 5
