@@ -3,12 +3,13 @@
 Candidates lie in blocks in vertical layout (one row per dimension). A query adds up products one block of dimensions after
 the other. What the remaining dimensions can still add is at most the product of the remaining lengths of query and
 candidate; candidates whose sum plus that bound stays below the k-th best score found so far leave the columns, and the rest
-is compacted. Blocks of queries meet blocks of candidates by equi-join on a block pair, so both sides are of fixed size, and
-each pair returns k rows per query at most.
+is compacted. Tasks read blocks of candidates and a few blocks of queries, each of fixed size, and compare each with each: no block is copied or
+sent to the driver. Each pair returns k rows per query at most.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from callweave.llm.tables import by_slices, in_tables
 DIMENSIONS = 16  # per step
 CANDIDATES = 8192  # per block
 QUERIES = 1024  # per block
+ASKED = 16  # blocks of queries that a task holds
 SAFE = float(1 << 62)  # sums that could pass this are added up as Python integers
 
 _PACKED = "block long, ids binary, width int, data binary"
@@ -120,11 +122,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, candidates_per_block:
     """
     columns = in_tables(_packed(vectors, candidates_per_block))
     asked = in_tables(_packed(vectors.where(queries), queries_per_block))
-    groups = max(1, columns.count())  # of candidates; a copy of each block of queries goes to each group
-    left = columns.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h"), F.col("ids").alias("q_ids"),
-                         F.col("width").alias("q_width"), F.col("data").alias("q_data"))
-    met = left.join(right, left["g"] == right["h"]).select("ids", "width", "data", "q_ids", "q_width", "q_data")
+    parts = max(1, math.ceil(asked.count() / ASKED))
+    right = asked.repartition(parts).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "width", "data")])
+    met = columns.select("ids", "width", "data").join(right.hint("shuffle_replicate_nl"))
 
     def search(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):

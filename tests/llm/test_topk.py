@@ -66,3 +66,13 @@ def test_prunes_columns():
     columns = np.hstack([far, near])
     at, scores = topk.search_block(near[:, 0], columns, topk._rest(columns, 16), np.zeros(5008, bool), np.arange(5008), 5)
     assert set(at) <= set(range(5000, 5008)) and list(scores) == sorted(near[:, 0] @ near, reverse=True)[:5]
+
+
+def test_blocks_are_not_copied(spark):
+    """Blocks of queries are neither copied for each block of candidates nor broadcast."""
+    rows = [(i, [float(i), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(topk.integers(df), F.col("vec_id") % 10 == 0, candidates_per_block=4, queries_per_block=2)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in text and "Broadcast" not in text and "Generate" not in text
+    assert sorted(map(tuple, got.collect())) == brute(rows, 10)
