@@ -209,3 +209,76 @@ def test_case_tables_go_when_they_are_read(spark):
     left = [p for p in written_paths() if p not in before]
     assert len(left) == 1
     assert {r["call_id"] for r in found.collect()} == set(range(40))
+
+
+def made_rows(rnd, n, width, rare):
+    """Rows (id, ix, w, rt, rw, rest) of unit vectors with many and few tokens, and some without any."""
+    rows = []
+    for i in range(n):
+        ix = sorted(rnd.sample(range(width), rnd.choice([0, 1, width // 2])))
+        rt = rnd.sample(range(rare), rnd.choice([0, 1, 3, 12])) if ix else []
+        w = [rnd.random() + 0.01 for _ in ix + rt]
+        norm = math.sqrt(sum(x * x for x in w)) or 1.0
+        w = [x / norm for x in w]
+        rows.append((f"{i:04d}", ix, w[:len(ix)], [t << 33 for t in rt], w[len(ix):], math.sqrt(sum(x * x for x in w[len(ix):]))))
+    return rows
+
+
+def as_block(rows, width):
+    import pyarrow as pa
+    kinds = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["id", *sim.FIELDS])
+    return sim._Block(sim._packed(batch).to_struct_array(), width)
+
+
+def products(left, right):
+    vector = lambda r: {**dict(zip(r[1], r[2])), **{t + 1000: x for t, x in zip(r[3], r[4])}}
+    lv, rv = [vector(r) for r in left], [vector(r) for r in right]
+    return np.array([[round(sum(x * b.get(t, 0) for t, x in a.items()), 9) for b in rv] for a in lv])
+
+
+@pytest.mark.parametrize("folded,gain,at_once", [(1024, 1000, 1 << 19), (3, 0, 5), (16, 1 << 40, 7)])
+def test_bounds_of_blocks_lose_no_pair(monkeypatch, folded, gain, at_once):
+    """Only rows and columns that the folded bound leaves are scored, with the scores of all tokens."""
+    for name, value in (("FOLDED", folded), ("MATRIX_GAIN", gain), ("PRODUCTS", at_once)):
+        monkeypatch.setattr(sim, name, value)
+    rnd = random.Random(8)
+    left, right = made_rows(rnd, 50, 12, 60), made_rows(rnd, 70, 12, 60)
+    scores = products(left, right)
+    l, r = as_block(left, 12), as_block(right, 12)
+    rows = np.arange(0, 50, 3)
+    i, j, s = sim._pairs(l, r, rows, np.full(50, -np.inf), 0.4, None)
+    assert {(a, b): x for a, b, x in zip(i.tolist(), j.tolist(), s.tolist())} == pytest.approx(
+        {(a, b): scores[a, b] for a in rows.tolist() for b in range(70) if scores[a, b] > 0.4}, abs=2e-9)
+    best = sim._Best(l.ids, 3)
+    for n in range(0, 70, 10):
+        part = as_block(right[n:n + 10], 12)
+        found = sim._pairs(l, part, rows, best.least, 0.1, 3)
+        best.add(found[0], part.ids, *found[1:])
+    want = [(left[a][0], right[b][0]) for a in rows.tolist() for b in sorted(range(70), key=lambda b: (-scores[a, b], b))[:3] if scores[a, b] > 0.1]
+    assert sorted((x["left_id"], x["right_id"]) for t in best.rows() for x in t.to_pylist()) == sorted(want)
+
+
+def test_blocks_fit_their_bytes(spark, monkeypatch):
+    """Long texts make blocks of fewer rows: a block's bytes are bounded, as a task holds blocks whole."""
+    tables = []
+    monkeypatch.setattr(sim, "BLOCK_BYTES", 100_000)
+    keep = sim.stored
+    monkeypatch.setattr(sim, "stored", lambda df, free=False: tables.append(keep(df, free)) or tables[-1])
+    rnd = random.Random(2)
+    texts = [" ".join(f"w{rnd.randint(0, 3000)}" for _ in range(400)) for _ in range(300)]
+    df = sim.distinct_texts(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    sim.similar_texts(df, df, 0.9)
+    sizes = [r["n"] for t in tables if "rows" in t.columns for r in t.select(F.size("rows").alias("n")).collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 120
+
+
+def test_only_wanted_texts_are_compared(spark):
+    """With ``among`` the pairs are those of a comparison with all texts: weights come from all."""
+    left, right = made_texts(20, 6), made_texts(60, 7)
+    frame = lambda ts: sim.distinct_texts(spark.createDataFrame([(t,) for t in ts], "t string"), "t")
+    l, r, some = frame(left), frame(right), frame(right[::4])
+    pairs = lambda df: {(x["left_id"], x["right_id"]): x["score"] for x in df.collect()}
+    wanted = {x["text_id"] for x in some.collect()}
+    everything = pairs(sim.similar_texts(l, r, 0.2))
+    assert pairs(sim.similar_texts(l, r, 0.2, among=some)) == {p: s for p, s in everything.items() if p[1] in wanted}
