@@ -282,3 +282,20 @@ def test_only_wanted_texts_are_compared(spark):
     wanted = {x["text_id"] for x in some.collect()}
     everything = pairs(sim.similar_texts(l, r, 0.2))
     assert pairs(sim.similar_texts(l, r, 0.2, among=some)) == {p: s for p, s in everything.items() if p[1] in wanted}
+
+
+def test_links_of_patterns_are_computed_once(spark):
+    from callweave.operators.recommend import defect_patterns
+    seen = spark.sparkContext.accumulator(0)
+    texts = ["a", "b", "c", "d"]
+    cases = spark.createDataFrame([(f"C{i}", i, i, "DEFECT", "OPEN", "LOW", t) for i, t in enumerate(texts)],
+                                  "case_number string, customer_id long, product_id long, case_type string, status string, priority string, issue_description string")
+
+    def counted(rows):
+        for x in rows:
+            seen.add(1)
+            yield x
+    pairs = spark.createDataFrame(spark.sparkContext.parallelize([("a", "b"), ("b", "a"), ("c", "c"), ("c", "b")], 2).mapPartitions(counted), "left_text string, right_text string")
+    out = defect_patterns(cases, 2, pairs).collect()
+    assert sorted((r["pattern"], r["customers"]) for r in out) == [("C0", 3), ("C3", 1)]
+    assert seen.value == 4
