@@ -299,3 +299,9 @@ def test_links_of_patterns_are_computed_once(spark):
     out = defect_patterns(cases, 2, pairs).collect()
     assert sorted((r["pattern"], r["customers"]) for r in out) == [("C0", 3), ("C3", 1)]
     assert seen.value == 4
+
+
+def test_similar_cases_of_recommendations_are_joined_once(spark, sf_dir):
+    import __spark_entry__ as entry
+    text = plan(entry.queries()["e3_recommend"](spark, sf_dir)).split("== Physical Plan ==")[1]
+    assert "labels.parquet" not in text  # cases are read before, for the stored tiers and similar cases
